@@ -13,9 +13,12 @@ that k is 0 need none, as only equal sets are linked.
 
 Signatures that two nodes or more share give candidates. First each node is compared with the least node of each
 of its signatures (through the least one of its own task, so that a signature reaches the shuffle once a task, and
-a hot one can't gather its group); sets are compared in full, and components formed. Then, for each signature whose
-nodes still lie in several components, all pairs across components are compared. Pairs within a component need no
-comparison, so nothing that could change a component is left out.
+a hot one can't gather its group); sets are compared in full, and components formed. Then come the signatures whose
+nodes still lie in several components. Where few nodes have one, all pairs across components are compared. The nodes
+of larger ones (say, copies each changed so much that few pairs link) are matched anew by an exact prefix filter that
+orders the domain so that what most of them share comes last, and pairs across components that agree on an early
+element are compared. Pairs within a component need no comparison, so nothing that could change a component is left
+out.
 
 Defined results: a null text, or one without words, has an empty set and is its own component; a text with fewer
 words than a shingle is one shingle; a null doc_id has no component (null) and links nothing; repeated rows fall
@@ -39,6 +42,12 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 #: Signatures that a task sorts at once.
 FLUSH = 2_000_000
 
+#: Nodes of a signature up to which all pairs across components are compared; beyond, the prefix filter finds them.
+SMALL_GROUP = 16
+
+#: Nodes whose elements come last in the prefix filter's order. The order makes it fast; any order is exact.
+HUBS = 1000
+
 #: Candidates' doc_ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -232,20 +241,16 @@ def _dealt(held: list, buckets: int):
             )
 
 
-def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs of nodes whose sets are linked; sets are made anew from the texts of one document each."""
-    spark = pairs.sparkSession
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = written(table.filter("doc_id IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    n = ids.count()
-    if n <= BROADCAST_IDS:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in ids.collect()], np.int64)))
+def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
+    """(node, set) for the nodes in `wanted`, made anew from the text of one document each."""
+    ids = written(table.filter("doc_id IS NOT NULL").join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    if ids.count() <= BROADCAST_IDS:
+        shared = docs.sparkSession.sparkContext.broadcast(np.array([r.doc_id for r in ids.collect()], np.int64))
 
         def pick(batches):
             for batch in batches:
-                at = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(np.isin(at, shared.value) & ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
+                known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(np.isin(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), shared.value) & known))
 
         chosen = docs.mapInArrow(pick, docs.schema)
     else:
@@ -256,7 +261,11 @@ def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, nu
             hashes, first = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), _blobs(hashes, first)], ["node", "set"])
 
-    sets = written(chosen.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
+    return written(chosen.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs of nodes whose sets are linked."""
 
     def compare(batches):
         for batch in batches:
@@ -277,6 +286,33 @@ def verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, nu
     return written(two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes of different components that have a `key` in common."""
+    p, q = rows.alias("p"), rows.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component"))
+    return p.join(q, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
+def rare_first(sets: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node) of the elements one of which linked sets must share: the first n - ceil(n * num / den) + 1 under
+    any one order of the domain. Here elements of the hubs' sets come last, as most of a large group has those."""
+    common = sets.join(hubs, "node", "left_semi").select("set")
+    last = np.unique(np.concatenate([np.frombuffer(r[0], "<u8") for r in common.toLocalIterator()] or [np.zeros(0, np.uint64)]))
+    shared = sets.sparkSession.sparkContext.broadcast(last)
+
+    def first_elements(batches):
+        for batch in batches:
+            values, first = _read(batch.column("set"), "<u8")
+            n = np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, np.isin(values, shared.value), row))
+            keep = np.arange(len(row)) - np.repeat(first[:-1], n) < (n - -(-n * num // den) + 1)[row]
+            at = order[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), batch.column("node").take(pa.array(row[at]))], ["key", "node"])
+
+    return sets.select("node", "set").mapInArrow(first_elements, "key long, node long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -284,15 +320,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     members = written(shared_signatures(table))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = members.filter("node <> rep").select(*pair("node", "rep")).distinct()
-    links = verified(stars, docs, table, words, num, den)
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    stars = written(stars)
+    links = verified(stars, sets_of(ends(stars), docs, table, words), num, den)
     known = written(components(links))
-    rows = members.select("sig", "node").distinct().join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    rows = written(rows)
-    open_ = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    rows = rows.join(open_, "sig", "left_semi")
-    across = rows.alias("p").join(rows.alias("q"), (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component")))
-    across = across.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(across, docs, table, words, num, den)
+    component = F.coalesce("component", "node").alias("component")
+    rows = written(members.join(known, "node", "left").select(F.col("sig").alias("key"), "node", "rep", component))
+    groups = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low < high")
+    rows = written(rows.join(groups.select("key", "many"), "key"))
+    large = rows.filter(F.col("many") > SMALL_GROUP)
+    hubs = large.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(HUBS).select("node")
+    sets = sets_of(rows.select("node"), docs, table, words)
+    keys = rare_first(sets.join(large.select("node").distinct(), "node", "left_semi"), hubs, num, den).join(known, "node", "left").select("key", "node", component)
+    keys = written(keys)
+    split = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    pairs = across(rows.filter(F.col("many") <= SMALL_GROUP)).unionByName(across(keys.join(split, "key", "left_semi")))
+    more = verified(pairs.distinct().join(stars, ["a", "b"], "left_anti"), sets, num, den)
     if not more.isEmpty():
         known = written(components(links.unionByName(more)))
     labelled = table.select("doc_id", "n", "node").join(known, "node", "left")
