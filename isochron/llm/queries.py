@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, token_output, url_filter
+from isochron.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_output, toxicity, url_filter
 
 #: Rules of the URL filter: host and the beginning of the path, and what they say.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -35,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), span=10).drop("spans")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), ["doc_id"], span=50)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -43,6 +47,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=0, folds=5)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"), fold=2, folds=4)
 
@@ -56,7 +64,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op5_token_output, op6_best_fit_packing, op8_language_id, op9_jaccard_join, op10_html_extraction)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction)
     return {f.__name__: f for f in own}
 
 
