@@ -267,13 +267,18 @@ def pieces(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
 
 
 def _intervals(doc, mark, a, b, names):
-    """Rows of (doc_id, mark) with their [a, b) intervals, as the null-bucket rows of pieces()."""
+    """Rows of (doc_id, mark) with the union of their [a, b) intervals, as the null-bucket rows of pieces()."""
     order = np.lexsort((a, mark, doc))
-    doc, mark = doc[order], mark[order]
+    doc, mark, a, b = doc[order], mark[order], a[order], b[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
-    first = np.append(np.flatnonzero(new), len(doc)).astype(np.int64)
-    both = np.stack([a[order], b[order]], 1).astype(np.int32)
+    far = (np.cumsum(new) - 1) << 32  # rows apart, so that one running maximum serves all
+    end = np.maximum.accumulate(b + far)
+    open_ = np.ones(len(doc), bool)  # an interval begins: the text between isn't covered
+    open_[1:] = (a + far)[1:] > end[:-1]
+    at = np.flatnonzero(open_)
+    both = np.stack([a[at], (end - far)[np.append(at[1:], len(doc)) - 1]], 1).astype(np.int32)
+    first = np.append(np.searchsorted(at, np.flatnonzero(new)), len(at)).astype(np.int64)
     none = _blob(np.zeros(0, np.int64), np.zeros(len(first), np.int64))
     yield pa.RecordBatch.from_arrays([pa.nulls(len(first) - 1, pa.int32()), pa.array(doc[new]), pa.array(mark[new]), none, none, none, _blob(both, first)], names)
 
