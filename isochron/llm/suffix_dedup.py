@@ -7,7 +7,7 @@ strings are found in three steps.
    ones, so each string of `span` bytes holds an anchor, and equal strings hold the same one at the same place.
    Anchors are dealt by hash; those in two documents or more are candidates. (A task sends an anchor once, with its
    least doc_id, and settles by itself that its own documents share it, so a common passage can't fill a bucket.)
-2. Pieces. Around each candidate a document gives the bytes that a string holding the anchor can have. Of equal pieces
+2. Pieces. Around each candidate a document gives the bytes of the strings whose least hash it is. Of equal pieces
    in a task only the one of the least doc_id goes on: in the others every string is a repeat already.
 3. Columns. A task holds all pieces of its anchors, lined up at the anchor, as columns in an external file, and goes
    through them from the last to the first: each round inserts one symbol of each piece, which moves the pieces'
@@ -43,7 +43,7 @@ from isochron.llm.words import ragged, slices, text_bytes
 K = 16
 
 #: Anchors, or bytes of pieces, that a task deals at once.
-FLUSH_ANCHORS, FLUSH_BYTES = 2_000_000, 48 << 20
+FLUSH_ANCHORS, FLUSH_BYTES = 2_000_000, 24 << 20
 
 #: Marks a column outside the document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
@@ -106,6 +106,23 @@ def _blob(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(values)])
 
 
+def _pressed(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Stretches of numbers, or of rows of bytes, each compressed plane by plane (first bytes first)."""
+    import zstandard
+
+    coder, width = zstandard.ZstdCompressor(level=1), values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
+    return pa.array([coder.compress(np.ascontiguousarray(raw[a:b].T)) for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+
+
+def _unpressed(blob: bytes, kind: str, width: int = 0) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    raw = np.ascontiguousarray(raw.reshape(width or np.dtype(kind).itemsize, -1).T)
+    return raw if width else raw.view(kind).reshape(-1)
+
+
 def _parts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by bucket, the buckets there are, and where each begins in that order."""
     order = np.argsort(bucket, kind="stable")
@@ -154,7 +171,9 @@ def candidates(docs: DataFrame, span: int) -> DataFrame:
         key, bucket, doc, at = key[own], bucket[own], doc[own], at[own]
         used, first = np.unique(bucket, return_index=True)
         first = np.append(first, len(bucket)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), _blob(key, first), _blob(doc, first), _blob(at, first)], names)
+        steps = np.diff(key.astype(np.int64), prepend=0)
+        steps[first[:-1]] = key[first[:-1]]  # ascending within a bucket
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), _pressed(steps.astype(np.uint32), first), _pressed(doc, first), _pressed(at, first)], names)
 
     def _places(doc, at):
         order, used, first = _parts(doc)
@@ -164,29 +183,31 @@ def candidates(docs: DataFrame, span: int) -> DataFrame:
     names = ["bucket", "doc_id", "keys", "docs", "places"]
 
     def gather(batches):
-        keys, docs_, places, buckets_ = [], [], [], []
+        held: dict[int, list] = {}
         for batch in batches:
             settled = batch.column("doc_id").is_valid()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(settled), batch.column("places").filter(settled)], ["doc_id", "places"])
             batch = batch.filter(pa.array(~settled.to_numpy(zero_copy_only=False)))
-            for b, x, y, z in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), batch.column("docs").to_pylist(), batch.column("places").to_pylist()):
-                keys.append(np.frombuffer(x, "<u4"))
-                docs_.append(np.frombuffer(y, "<i8"))
-                places.append(np.frombuffer(z, "<u4"))
-                buckets_.append(np.full(len(keys[-1]), b, np.uint64))
-        if not keys:
-            return
-        key = np.concatenate(buckets_) << np.uint64(32) | np.concatenate(keys)
-        doc, at = np.concatenate(docs_), np.concatenate(places)
-        order = np.lexsort((doc, key))
-        key, doc, at = key[order], doc[order], at[order]
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        other = np.zeros(len(key), bool)
-        other[1:] = ~start[1:] & (doc[1:] != doc[:-1])
-        many = (np.bincount(np.cumsum(start) - 1, other) > 0)[np.cumsum(start) - 1]
-        order, used, first = _parts(doc[many])
-        yield pa.RecordBatch.from_arrays([pa.array(used), _blob(at[many][order], first)], ["doc_id", "places"])
+            for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "docs", "places"))):
+                held.setdefault(b, []).append(blobs)
+        docs_, places = [], []
+        for blobs in held.values():  # a bucket at a time
+            key = np.concatenate([np.cumsum(_unpressed(x, "<u4"), dtype=np.int64) for x, _, _ in blobs])
+            doc, at = np.concatenate([_unpressed(y, "<i8") for _, y, _ in blobs]), np.concatenate([_unpressed(z, "<u4") for _, _, z in blobs])
+            order = np.lexsort((doc, key))
+            key, doc, at = key[order], doc[order], at[order]
+            start = np.ones(len(key), bool)
+            start[1:] = key[1:] != key[:-1]
+            other = np.zeros(len(key), bool)
+            other[1:] = ~start[1:] & (doc[1:] != doc[:-1])
+            group = np.cumsum(start) - 1
+            many = (np.bincount(group, other) > 0)[group]
+            docs_.append(doc[many])
+            places.append(at[many])
+        if docs_:
+            doc, at = np.concatenate(docs_), np.concatenate(places)
+            order, used, first = _parts(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(used), _blob(at[order], first)], ["doc_id", "places"])
 
     dealt_out = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(deal, "bucket int, doc_id long, keys binary, docs binary, places binary")
     found = dealt_out.repartition("bucket").mapInArrow(gather, "doc_id long, places binary")
@@ -215,6 +236,21 @@ def _opened(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if x is None else coder.decompress(x) for x in batch.column("_z").to_pylist()]
 
 
+def owned(at: np.ndarray, h: np.ndarray, row: np.ndarray, places: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose least hash is each anchor's (the leftmost, where several tie)."""
+    n, reach = len(at), span - K
+    lo, hi = np.maximum(at - reach, places[row]), np.minimum(at, places[row + 1] - span)
+    for step in range(1, reach + 1):
+        if step >= n or not (at[step:] - at[:-step] <= reach).any():
+            break
+        near = (at[step:] - at[:-step] <= reach) & (row[step:] == row[:-step])
+        left = near & (h[:-step] <= h[step:])  # an earlier one that is as low
+        lo[step:][left] = np.maximum(lo[step:][left], at[:-step][left] + 1)
+        right = near & (h[step:] < h[:-step])  # a later one that is lower
+        hi[:-step][right] = np.minimum(hi[:-step][right], at[step:][right] - reach - 1)
+    return lo, hi
+
+
 def pieces(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
     """Buckets of pieces: bucket, docs, marks (the text's hash), starts (of the piece's first column in the text) and
     the pieces' bytes; or, with a null bucket, (doc_id, mark) and intervals that are repeats already."""
@@ -223,51 +259,59 @@ def pieces(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
 
     def cut(batches):
         held, size = [], 0
-        for batch in batches:
-            docs_, marks = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
-            for doc, mark, raw, blobs in zip(docs_, marks, _opened(batch), batch.column("places").to_pylist()):
-                at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in blobs])).astype(np.int64)
-                at = at[at + K <= len(raw)]
-                if len(at) and len(raw) >= span:
-                    data = np.full(len(raw) + 2 * left, OUTSIDE, np.uint8)
-                    data[left : left + len(raw)] = np.frombuffer(raw, np.uint8)
-                    held.append((doc, mark, at, data))
-                    size += len(at) * width
-                    if size >= FLUSH_BYTES:
-                        yield from dealt(held)
-                        held, size = [], 0
+        for batch in slices(batches, "_z", 1 << 20):
+            raws = _opened(batch)
+            places = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)
+            data = np.full(places[-1] + 2 * left, OUTSIDE, np.uint8)
+            data[left : left + places[-1]] = np.frombuffer(b"".join(raws), np.uint8)
+            at, h = anchors(data[left : left + places[-1]], places, span)
+            row = np.searchsorted(places, at, "right") - 1
+            lo, hi = owned(at, h, row, places, span)
+            wanted = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in batch.column("places").to_pylist()]
+            wanted = np.concatenate([x + a for x, a in zip(wanted, places[:-1].tolist())])
+            keep = np.isin(at, wanted) & (lo <= hi)
+            at, row, lo, hi = at[keep], row[keep], lo[keep], hi[keep]
+            if not len(at):
+                continue
+            rows = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+            column = np.arange(width) + (at - left)[:, None]
+            rows[(column < lo[:, None]) | (column >= hi[:, None] + span)] = OUTSIDE
+            doc, mark = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "mark"))
+            held.append((doc, mark, (at - places[row]).astype(np.int64), rows, lo - places[row], hi - places[row] + span))
+            size += rows.size
+            if size >= FLUSH_BYTES:
+                yield from dealt(held)
+                held, size = [], 0
         if held:
             yield from dealt(held)
 
     def dealt(held):
-        n = np.array([len(x[2]) for x in held])
-        doc, mark = np.repeat(np.array([x[0] for x in held], np.int64), n), np.repeat(np.array([x[1] for x in held], np.int64), n)
-        at = np.concatenate([x[2] for x in held])
-        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x[3], width)[x[2]] for x in held])
+        doc, mark, at, rows, lo, hi = (np.concatenate(x) for x in zip(*held))
         _, same = np.unique(rows.view(f"V{width}").reshape(-1), return_inverse=True)
         same = same.reshape(-1)
         least = np.full(same.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, same, doc)
         later = doc > least[same]
         if later.any():
-            a, b = at[later] - left, at[later] + K + left
-            yield from _intervals(doc[later], mark[later], np.maximum(a, 0), b, names)
+            yield from _intervals(doc[later], mark[later], lo[later], hi[later], names)
         goes = ~later
         # one of the least document's equal pieces tells others enough, but each of its own must hear of others
         rows, doc, mark, at = rows[goes], doc[goes], mark[goes], at[goes]
         h = gram_hashes(np.ascontiguousarray(rows[:, left : left + K]).reshape(-1))[::K]
-        order, used, first = _parts((h % np.uint64(buckets)).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), _blob(doc[order], first), _blob(mark[order], first), _blob((at[order] - left).astype(np.int32), first), _blob(rows[order], first)], names
-        )
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((h, bucket))
+        used, first = np.unique(bucket[order], return_index=True)
+        first = np.append(first, len(bucket)).astype(np.int64)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), none, none, _pressed(doc[order], first), _pressed(mark[order], first), _pressed((at[order] - left).astype(np.int32), first), _pressed(rows[order], first)], names)
 
     names = ["bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"]
     joined = squeezed(docs.filter("doc_id IS NOT NULL"), ["doc_id", "mark"]).join(found, "doc_id")
     return joined.mapInArrow(cut, "bucket int, doc_id long, mark long, docs binary, marks binary, starts binary, bytes binary")
 
 
-def _intervals(doc, mark, a, b, names):
-    """Rows of (doc_id, mark) with the union of their [a, b) intervals, as the null-bucket rows of pieces()."""
+def union(doc: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The union of the [a, b) intervals of each (doc, mark), in order."""
     order = np.lexsort((a, mark, doc))
     doc, mark, a, b = doc[order], mark[order], a[order], b[order]
     new = np.ones(len(doc), bool)
@@ -277,10 +321,17 @@ def _intervals(doc, mark, a, b, names):
     open_ = np.ones(len(doc), bool)  # an interval begins: the text between isn't covered
     open_[1:] = (a + far)[1:] > end[:-1]
     at = np.flatnonzero(open_)
-    both = np.stack([a[at], (end - far)[np.append(at[1:], len(doc)) - 1]], 1).astype(np.int32)
-    first = np.append(np.searchsorted(at, np.flatnonzero(new)), len(at)).astype(np.int64)
-    none = _blob(np.zeros(0, np.int64), np.zeros(len(first), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(first) - 1, pa.int32()), pa.array(doc[new]), pa.array(mark[new]), none, none, none, _blob(both, first)], names)
+    return doc[at], mark[at], a[at], (end - far)[np.append(at[1:], len(doc)) - 1]
+
+
+def _intervals(doc, mark, a, b, names):
+    """Rows of (doc_id, mark) with the union of their intervals, as the null-bucket rows of pieces()."""
+    doc, mark, a, b = union(doc, mark, a, b)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    first = np.append(np.flatnonzero(new), len(doc)).astype(np.int64)
+    none = pa.nulls(len(first) - 1, pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(first) - 1, pa.int32()), pa.array(doc[new]), pa.array(mark[new]), none, none, none, _blob(np.stack([a, b], 1).astype(np.int32), first)], names)
 
 
 def repeats(symbols: np.ndarray, docs: np.ndarray, span: int, last_start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,21 +380,24 @@ def removed_intervals(dealt: DataFrame, span: int) -> DataFrame:
     width = 2 * left + K
 
     def sort(batches):
-        docs_, marks, starts, rows = [], [], [], []
+        held: dict[int, list] = {}
         names = ["doc_id", "mark", "intervals"]
         for batch in batches:
             settled = batch.column("doc_id").is_valid()
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(settled) for c in ("doc_id", "mark", "bytes")], names)
             batch = batch.filter(pa.array(~settled.to_numpy(zero_copy_only=False)))
-            for held, name, kind in ((docs_, "docs", "<i8"), (marks, "marks", "<i8"), (starts, "starts", "<i4"), (rows, "bytes", "u1")):
-                held.extend(np.frombuffer(x, kind) for x in batch.column(name).to_pylist())
-        if not docs_:
-            return
-        doc, mark, start = np.concatenate(docs_), np.concatenate(marks), np.concatenate(starts).astype(np.int64)
-        piece, column = repeats(np.concatenate(rows).reshape(-1, width), doc, span, left)
-        if len(piece):
-            a = start[piece] + column
-            for out in _intervals(doc[piece], mark[piece], a, a + span, ["bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"]):
+            for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "marks", "starts", "bytes"))):
+                held.setdefault(b, []).append(blobs)
+        found = []
+        for blobs in held.values():  # equal anchors share a bucket; one is open at a time
+            doc, mark = (np.concatenate([_unpressed(x[i], "<i8") for x in blobs]) for i in (0, 1))
+            start = np.concatenate([_unpressed(x[2], "<i4") for x in blobs]).astype(np.int64)
+            piece, column = repeats(np.concatenate([_unpressed(x[3], "u1", width) for x in blobs]), doc, span, left)
+            if len(piece):
+                a = start[piece] + column
+                found.append(union(doc[piece], mark[piece], a, a + span))
+        if found:
+            for out in _intervals(*(np.concatenate(x) for x in zip(*found)), ["bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"]):
                 yield pa.RecordBatch.from_arrays([out.column(c) for c in ("doc_id", "mark", "bytes")], names)
 
     return dealt.repartition(F.coalesce("bucket", F.pmod(F.col("mark"), F.lit(_buckets(dealt))).cast("int"))).mapInArrow(sort, "doc_id long, mark long, intervals binary")
