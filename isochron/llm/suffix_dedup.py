@@ -130,6 +130,22 @@ def _parts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, used, np.append(first, len(bucket)).astype(np.int64)
 
 
+def _dealt(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows of numbers as a blob for each column and bucket of documents; the first column is the doc_id."""
+    order, used, first = _parts((_mix(columns[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(_pressed(c[order], first) for c in columns)], ["bucket", *(f"c{i}" for i in range(len(columns)))])
+
+
+def _gathered(batches, kinds: list[str]):
+    """The rows of each bucket that _dealt() dealt, a bucket at a time."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for b, *blobs in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            held.setdefault(b, []).append(blobs)
+    for blobs in held.values():
+        yield [np.concatenate([_unpressed(x[i], kind) for x in blobs]) for i, kind in enumerate(kinds)]
+
+
 def _buckets(df: DataFrame) -> int:
     return 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -184,13 +200,14 @@ def candidates(docs: DataFrame, span: int) -> DataFrame:
 
     def gather(batches):
         held: dict[int, list] = {}
-        for batch in batches:
-            settled = batch.column("doc_id").is_valid()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(settled), batch.column("places").filter(settled)], ["doc_id", "places"])
-            batch = batch.filter(pa.array(~settled.to_numpy(zero_copy_only=False)))
-            for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "docs", "places"))):
-                held.setdefault(b, []).append(blobs)
         docs_, places = [], []
+        for batch in batches:
+            for b, doc, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "keys", "docs", "places"))):
+                if doc is None:
+                    held.setdefault(b, []).append(blobs)
+                else:  # settled by the task that dealt it
+                    places.append(np.frombuffer(blobs[2], "<u4"))
+                    docs_.append(np.full(len(places[-1]), doc, np.int64))
         for blobs in held.values():  # a bucket at a time
             key = np.concatenate([np.cumsum(_unpressed(x, "<u4"), dtype=np.int64) for x, _, _ in blobs])
             doc, at = np.concatenate([_unpressed(y, "<i8") for _, y, _ in blobs]), np.concatenate([_unpressed(z, "<u4") for _, _, z in blobs])
@@ -205,13 +222,16 @@ def candidates(docs: DataFrame, span: int) -> DataFrame:
             docs_.append(doc[many])
             places.append(at[many])
         if docs_:
-            doc, at = np.concatenate(docs_), np.concatenate(places)
+            yield _dealt([np.concatenate(docs_), np.concatenate(places)], buckets)
+
+    def collect(batches):
+        for doc, at in _gathered(batches, ["<i8", "<u4"]):
             order, used, first = _parts(doc)
             yield pa.RecordBatch.from_arrays([pa.array(used), _blob(at[order], first)], ["doc_id", "places"])
 
     dealt_out = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(deal, "bucket int, doc_id long, keys binary, docs binary, places binary")
-    found = dealt_out.repartition("bucket").mapInArrow(gather, "doc_id long, places binary")
-    return found.groupBy("doc_id").agg(F.expr("collect_list(places)").alias("places"))
+    found = dealt_out.repartition("bucket").mapInArrow(gather, "bucket int, c0 binary, c1 binary")
+    return found.repartition("bucket").mapInArrow(collect, "doc_id long, places binary")
 
 
 def squeezed(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -267,7 +287,7 @@ def pieces(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
             at, h = anchors(data[left : left + places[-1]], places, span)
             row = np.searchsorted(places, at, "right") - 1
             lo, hi = owned(at, h, row, places, span)
-            wanted = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in batch.column("places").to_pylist()]
+            wanted = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("places").to_pylist()]
             wanted = np.concatenate([x + a for x, a in zip(wanted, places[:-1].tolist())])
             keep = np.isin(at, wanted) & (lo <= hi)
             at, row, lo, hi = at[keep], row[keep], lo[keep], hi[keep]
@@ -381,14 +401,14 @@ def removed_intervals(dealt: DataFrame, span: int) -> DataFrame:
 
     def sort(batches):
         held: dict[int, list] = {}
-        names = ["doc_id", "mark", "intervals"]
-        for batch in batches:
-            settled = batch.column("doc_id").is_valid()
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(settled) for c in ("doc_id", "mark", "bytes")], names)
-            batch = batch.filter(pa.array(~settled.to_numpy(zero_copy_only=False)))
-            for b, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "marks", "starts", "bytes"))):
-                held.setdefault(b, []).append(blobs)
         found = []
+        for batch in batches:
+            for b, doc, mark, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"))):
+                if doc is None:
+                    held.setdefault(b, []).append(blobs)
+                else:  # settled by the task that dealt it
+                    own = np.frombuffer(blobs[3], "<i4").reshape(-1, 2).astype(np.int64)
+                    found.append((np.full(len(own), doc, np.int64), np.full(len(own), mark, np.int64), own[:, 0], own[:, 1]))
         for blobs in held.values():  # equal anchors share a bucket; one is open at a time
             doc, mark = (np.concatenate([_unpressed(x[i], "<i8") for x in blobs]) for i in (0, 1))
             start = np.concatenate([_unpressed(x[2], "<i4") for x in blobs]).astype(np.int64)
@@ -397,15 +417,22 @@ def removed_intervals(dealt: DataFrame, span: int) -> DataFrame:
                 a = start[piece] + column
                 found.append(union(doc[piece], mark[piece], a, a + span))
         if found:
-            for out in _intervals(*(np.concatenate(x) for x in zip(*found)), ["bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"]):
-                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("doc_id", "mark", "bytes")], names)
+            doc, mark, a, b = union(*(np.concatenate(x) for x in zip(*found)))
+            yield _dealt([doc, mark, a.astype(np.int32), b.astype(np.int32)], buckets)
+
+    def collect(batches):
+        for doc, mark, a, b in _gathered(batches, ["<i8", "<i8", "<i4", "<i4"]):
+            for out in _intervals(doc, mark, a.astype(np.int64), b.astype(np.int64), ["bucket", "doc_id", "mark", "docs", "marks", "starts", "bytes"]):
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("doc_id", "mark", "bytes")], ["doc_id", "mark", "intervals"])
 
-    return dealt.repartition(F.coalesce("bucket", F.pmod(F.col("mark"), F.lit(_buckets(dealt))).cast("int"))).mapInArrow(sort, "doc_id long, mark long, intervals binary")
+    buckets = _buckets(dealt)
+    sorted_ = dealt.repartition(F.coalesce("bucket", F.pmod(F.col("mark"), F.lit(buckets)).cast("int"))).mapInArrow(sort, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return sorted_.repartition("bucket").mapInArrow(collect, "doc_id long, mark long, intervals binary")
 
 
-def merge(blobs: list[bytes], size: int) -> np.ndarray:
+def merge(blob: bytes, size: int) -> np.ndarray:
     """The union of intervals, in order, clipped to the text."""
-    x = np.concatenate([np.frombuffer(b, "<i4").reshape(-1, 2) for b in blobs]).astype(np.int64)
+    x = np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64)
     x = np.clip(x[np.argsort(x[:, 0], kind="stable")], 0, size)
     x = x[x[:, 1] > x[:, 0]]
     if not len(x):
@@ -422,14 +449,14 @@ def dedup(docs: DataFrame, keep: list[str], span: int = 50, with_text: bool = Fa
     source = docs.select(*keep, *[F.col("doc_id").cast("long").alias("doc_id")] * ("doc_id" not in keep), F.col("text").cast("string").alias("text"))
     own = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     found = candidates(own, span)
-    gone = removed_intervals(pieces(own, found, span), span).groupBy("doc_id", "mark").agg(F.collect_list("intervals").alias("_gone"))
-    gone = written(gone).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "_gone")
+    gone = written(removed_intervals(pieces(own, found, span), span))
+    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("intervals").alias("_gone"))
 
     def finish(batches):
         for batch in batches:
             out = []
-            for raw, blobs in zip(_opened(batch), batch.column("_gone").to_pylist()):
-                cuts = merge(blobs, len(raw)) if blobs else np.zeros((0, 2), np.int64)
+            for raw, blob in zip(_opened(batch), batch.column("_gone").to_pylist()):
+                cuts = merge(blob, len(raw)) if blob else np.zeros((0, 2), np.int64)
                 kept, at = [], 0
                 for a, b in cuts.tolist():
                     kept.append(raw[at:a])
