@@ -33,8 +33,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of PASSAGE bytes go that also start in a document with a smaller doc_id; a document whose text goes
     altogether goes with it."""
-    out = suffix_dedup.dedup(docs, docs.columns, span=PASSAGE, with_text=True)
-    cut = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    rest = [c for c in docs.columns if c != "text"]
+    out = suffix_dedup.dedup(docs.withColumn("_none", F.col("text").isNull()), [*rest, "_none"], span=PASSAGE, with_text=True)
+    cut = out.withColumn("text", F.when(~F.col("_none"), F.col("kept_text"))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
     return cut.filter("n_removed = 0 OR length(trim(kept_text)) > 0").select(*docs.columns)
 
 

@@ -445,9 +445,9 @@ def merge(blob: bytes, size: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, keep: list[str], span: int = 50, with_text: bool = False) -> DataFrame:
     """Columns `keep` with n_bytes, n_removed, n_spans, kept_sha256, and the kept text if it's asked for (where a cut
-    splits a character, its remaining bytes give U+FFFD there; the other figures are of the bytes themselves)."""
-    source = docs.select(*keep, *[F.col("doc_id").cast("long").alias("doc_id")] * ("doc_id" not in keep), F.col("text").cast("string").alias("text"))
-    own = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    splits a character, its remaining bytes are left out there; the other figures are of the bytes themselves)."""
+    source = docs.select(*keep, F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("_t")).withColumn("_m", F.xxhash64("_t"))
+    own = source.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text"), F.col("_m").alias("mark"))
     found = candidates(own, span)
     gone = written(removed_intervals(pieces(own, found, span), span))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("intervals").alias("_gone"))
@@ -462,12 +462,12 @@ def dedup(docs: DataFrame, keep: list[str], span: int = 50, with_text: bool = Fa
                     kept.append(raw[at:a])
                     at = b
                 body = b"".join([*kept, raw[at:]])
-                out.append((len(raw), int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts), hashlib.sha256(body).hexdigest(), *([body.decode("utf-8", "replace")] * with_text)))
+                out.append((len(raw), int((cuts[:, 1] - cuts[:, 0]).sum()), len(cuts), hashlib.sha256(body).hexdigest(), *([body.decode("utf-8", "ignore")] * with_text)))
             columns = list(zip(*out)) or [()] * (4 + with_text)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
 
     schema = T.StructType(docs.select(*keep).schema.fields).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_text:
         schema = schema.add("kept_text", "string")
-    marked = squeezed(source.withColumn("_m", F.xxhash64("text")).withColumn("_d", F.col("doc_id").cast("long")), [*keep, "_d", "_m"])
+    marked = squeezed(source.select(*keep, "_d", "_m", F.col("_t").alias("text")) if "text" not in keep else source.drop("text").withColumnRenamed("_t", "text"), [*keep, "_d", "_m"])
     return marked.join(gone, (F.col("_d") == F.col("_doc")) & (F.col("_m") == F.col("_mark")), "left").mapInArrow(finish, schema)
