@@ -40,7 +40,7 @@ from isochron.llm.words import LOWER, SPACE, slices, split_words, text_bytes
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 #: Signatures that a task sorts at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 #: Nodes of a signature up to which all pairs across components are compared; beyond, the prefix filter finds them.
 SMALL_GROUP = 16

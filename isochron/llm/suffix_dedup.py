@@ -43,7 +43,7 @@ from isochron.llm.words import ragged, slices, text_bytes
 K = 16
 
 #: Anchors, or bytes of pieces, that a task deals at once.
-FLUSH_ANCHORS, FLUSH_BYTES = 2_000_000, 24 << 20
+FLUSH_ANCHORS, FLUSH_BYTES = 1_000_000, 12 << 20
 
 #: Marks a column outside the document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
@@ -279,7 +279,7 @@ def pieces(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
 
     def cut(batches):
         held, size = [], 0
-        for batch in slices(batches, "_z", 1 << 20):
+        for batch in slices(batches, "_z", 1 << 19):
             raws = _opened(batch)
             places = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)
             data = np.full(places[-1] + 2 * left, OUTSIDE, np.uint8)

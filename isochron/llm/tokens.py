@@ -10,10 +10,10 @@ import pyarrow as pa
 from isochron.llm.words import LOWER, SPACE, ragged, strings, text_bytes
 
 #: Distinct stretches that a worker remembers before it starts afresh.
-CACHE = 800_000
+CACHE = 250_000
 
 #: Bytes of text that are encoded at once.
-SLICE = 16 << 20
+SLICE = 5 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
