@@ -33,10 +33,10 @@ SUB = 32
 
 #: Features in whole per-milles, and the least width of their fences.
 FEATURES = {
-    "word_length": (lambda: F.expr("word_chars * 1000 div n_words"), 1000),
-    "symbols": (lambda: F.expr("n_symbols * 1000 div n_words"), 100),
-    "dup_lines": (lambda: F.expr("n_dup_lines * 1000 div n_words"), 50),
-    "repeats": (lambda: F.expr("n_repeat_words * 1000 div n_words"), 250),
+    "word_length": (lambda: F.expr("word_chars * 1000 div greatest(n_words, 1L)"), 1000),
+    "symbols": (lambda: F.expr("n_symbols * 1000 div greatest(n_words, 1L)"), 100),
+    "dup_lines": (lambda: F.expr("n_dup_lines * 1000 div greatest(n_words, 1L)"), 50),
+    "repeats": (lambda: F.expr("n_repeat_words * 1000 div greatest(n_words, 1L)"), 250),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
