@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from isochron.llm.words import LOWER, SPACE, ragged, strings, text_bytes
+from isochron.llm.words import LOWER, SPACE, give_back, ragged, strings, text_bytes
 
 #: Distinct stretches that a worker remembers before it starts afresh.
-CACHE = 250_000
+CACHE = 150_000
 
 #: Bytes of text that are encoded at once.
-SLICE = 5 << 20
+SLICE = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -63,8 +64,10 @@ class Encoder:
     """drops_space: the tokenizer removes white space and lower-cases."""
 
     def __init__(self, path: str, drops_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores; threads here would each hold memory
         from tokenizers import Tokenizer
 
+        give_back()
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and "<|" in x.content and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), None)
