@@ -92,7 +92,9 @@ def best_fit_plan(counts: dict[int, int], size: int) -> np.ndarray:
 
 
 def place(pieces: DataFrame, size: int) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length from 1 to size."""
+    """Adds sequence_id and offset to rows with a length from 1 to size. They are written first: to find the ranges,
+    Spark reads its input twice."""
+    pieces = written(pieces)
     spark = pieces.sparkSession
     ordered = pieces.repartitionByRange(F.desc("length"), "doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece", *[c for c in pieces.columns if c not in ("length", "doc_id", "piece")])
     ordered = written(ordered.withColumn("_at", F.monotonically_increasing_id()))
