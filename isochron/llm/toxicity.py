@@ -80,7 +80,7 @@ def learn_lexicon(labelled: DataFrame, least: int = 5, most: int = 4000) -> dict
                 both = np.unique(row[code >= 0] * n + code[code >= 0])  # a text counts once
                 bad = np.bincount(both[toxic[both // n] == 1] % n, minlength=n)
                 good = np.bincount(both[toxic[both // n] != 1] % n, minlength=n)
-                keep = np.flatnonzero(bad if wanted is None else np.isin(np.asarray(coded.dictionary.to_pylist() or [""], object), wanted.value))
+                keep = np.flatnonzero(bad if wanted is None else pc.is_in(coded.dictionary, value_set=wanted.value).to_numpy(zero_copy_only=False))
                 if len(coded.dictionary) and len(keep):
                     yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(keep)).cast(pa.string()), pa.array(bad[keep]), pa.array(good[keep])], ["term", "bad", "good"])
 
@@ -89,7 +89,7 @@ def learn_lexicon(labelled: DataFrame, least: int = 5, most: int = 4000) -> dict
     wanted = None
     often = labelled.filter("toxic = 1").mapInArrow(terms, kind).groupBy("term").agg(F.sum("bad").alias("bad")).filter(F.col("bad") >= least)
     often = [r.term for r in often.orderBy(F.desc("bad"), "term").limit(10 * most).collect()]  # of a bounded sample
-    wanted = labelled.sparkSession.sparkContext.broadcast(np.array(often, object))
+    wanted = labelled.sparkSession.sparkContext.broadcast(pa.array(often, pa.large_string()))
     counted = labelled.mapInArrow(terms, kind).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
     out = {r.term: math.log((r.bad + 0.1) / (sizes.get(1, 0) + 1)) - math.log((r.good + 0.1) / (sizes.get(0, 0) + 1)) for r in counted}
     return dict(sorted(((t, w) for t, w in out.items() if w > 1.5), key=lambda x: (-x[1], x[0]))[:most])
