@@ -31,10 +31,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of PASSAGE bytes go that also start in a document with a smaller doc_id; a document whose text goes
-    altogether goes with it."""
+    """Strings of PASSAGE bytes go that also start in a document with a smaller doc_id, and so do passages of
+    PASSAGE_WORDS words, however short; a document whose text goes altogether goes with it."""
     rest = [c for c in docs.columns if c != "text"]
-    out = suffix_dedup.dedup(docs.withColumn("_none", F.col("text").isNull()), [*rest, "_none"], span=PASSAGE, with_text=True)
+    out = suffix_dedup.dedup(docs.withColumn("_none", F.col("text").isNull()), [*rest, "_none"], span=PASSAGE, with_text=True, words=PASSAGE_WORDS)
     cut = out.withColumn("text", F.when(~F.col("_none"), F.col("kept_text"))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
     return cut.filter("n_removed = 0 OR length(trim(kept_text)) > 0").select(*docs.columns)
 
@@ -52,8 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=4096)
 
 
-#: Bytes of a repeated passage: about fifty words, so that phrases that clean documents share stay.
-PASSAGE = 250
+#: Bytes or words of a repeated passage, whichever is less: phrases that clean documents share stay.
+PASSAGE, PASSAGE_WORDS = 250, 51
 
 STAGES = [
     ("language id", keep_known_language),

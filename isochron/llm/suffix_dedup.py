@@ -32,12 +32,12 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isochron.llm.store import written
-from isochron.llm.words import ragged, slices, text_bytes
+from isochron.llm.words import SPACE, ragged, runs, slices, text_bytes
 
 #: Bytes of an anchor: 2, 4, 8, 16 ...
 K = 16
@@ -48,6 +48,10 @@ FLUSH_ANCHORS, FLUSH_BYTES = 1_000_000, 12 << 20
 #: Marks a column outside the document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
 
+#: Space and ASCII punctuation, which a passage of words neither begins nor ends with.
+_LOOSE = SPACE.copy()
+_LOOSE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -443,19 +447,89 @@ def merge(blob: bytes, size: int) -> np.ndarray:
     return np.stack([x[at, 0], np.append(end[at[1:] - 1], end[-1])], 1)
 
 
-def dedup(docs: DataFrame, keep: list[str], span: int = 50, with_text: bool = False) -> DataFrame:
+def passages(data: np.ndarray, places: np.ndarray, words: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the runs of `words` successive words that have less than `under` bytes, without the
+    punctuation before their first word and after their last."""
+    starts, ends = runs(~SPACE[data], places)
+    row = np.searchsorted(places, starts, "right") - 1
+    n = max(0, len(starts) - words + 1)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    solid = np.flatnonzero(~_LOOSE[data])
+    at = np.append(solid, len(data))[np.searchsorted(solid, starts)]
+    a = np.where(at < ends, at, starts)
+    at = np.append(solid, -1)[np.searchsorted(solid, ends) - 1]
+    b = np.where(at >= starts, at + 1, ends)[words - 1 :]
+    own = np.flatnonzero((row[:n] == row[words - 1 :]) & (b - a[:n] < under))
+    return a[own], b[own], row[own]
+
+
+def repeated_words(docs: DataFrame, words: int, under: int) -> DataFrame:
+    """doc_id, mark and `places` (start << 32 | end) of passages of `words` words and less than `under` bytes that a
+    document with a smaller doc_id has as well, by their 128-bit digests. A task sends a passage of its least doc_id
+    alone and settles those of its other documents by itself, so a common one can't gather its documents."""
+
+    def deal(batches):
+        held, n = [], 0
+        for batch in slices(batches):
+            data, places = text_bytes(batch.column("text"))
+            a, b, row = passages(data, places, words, under)
+            if not len(a):
+                continue
+            raw = data.tobytes()
+            keys = np.frombuffer(b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist())), "<i8").reshape(-1, 2)
+            doc, mark = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "mark"))
+            held.append((keys[:, 0], keys[:, 1], doc, mark, a - places[row], b - places[row]))
+            n += len(a)
+            if n >= FLUSH_ANCHORS:
+                yield from dealt(held)
+                held, n = [], 0
+        if held:
+            yield from dealt(held)
+
+    def dealt(held):
+        k, l, doc, mark, a, b = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, l, k))
+        k, l, doc, mark, a, b = (x[order] for x in (k, l, doc, mark, a, b))
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (l[1:] != l[:-1])
+        later = doc > doc[new][np.cumsum(new) - 1]
+        if later.any():
+            of, text, x, y = union(doc[later], mark[later], a[later], b[later])
+            yield rows(True, text, of, of, text, x, y)
+        yield rows(False, *(x[~later] for x in (k, l, doc, mark, a, b)))
+
+    def rows(settled, k, l, doc, mark, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), settled)), *(pa.array(x) for x in (k, l, doc, mark, a << 32 | b))], ["settled", "k", "l", "doc_id", "mark", "place"])
+
+    sent = docs.filter("doc_id IS NOT NULL").select("doc_id", "mark", "text").mapInArrow(deal, "settled boolean, k long, l long, doc_id long, mark long, place long")
+    least = sent.withColumn("least", F.min("doc_id").over(Window.partitionBy("settled", "k", "l")))
+    return least.filter("settled OR doc_id > least").groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
+
+
+def dedup(docs: DataFrame, keep: list[str], span: int = 50, with_text: bool = False, words: int | None = None) -> DataFrame:
     """Columns `keep` with n_bytes, n_removed, n_spans, kept_sha256, and the kept text if it's asked for (where a cut
-    splits a character, its remaining bytes are left out there; the other figures are of the bytes themselves)."""
+    splits a character, its remaining bytes are left out there; the other figures are of the bytes themselves). With
+    `words`, passages of so many words go as well, however few bytes they have."""
     source = docs.select(*keep, F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("_t")).withColumn("_m", F.xxhash64("_t"))
     own = source.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text"), F.col("_m").alias("mark"))
     found = candidates(own, span)
     gone = written(removed_intervals(pieces(own, found, span), span))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("intervals").alias("_gone"))
+    if words:
+        more = written(repeated_words(own, words, span)).select(F.col("doc_id").alias("_also"), F.col("mark").alias("_same"), "places")
+        gone = gone.join(more, (F.col("_doc") == F.col("_also")) & (F.col("_mark") == F.col("_same")), "full")
+        gone = gone.select(F.coalesce("_doc", "_also").alias("_doc"), F.coalesce("_mark", "_same").alias("_mark"), "_gone", F.col("places").alias("_places"))
+    else:
+        gone = gone.withColumn("_places", F.lit(None).cast("array<long>"))
 
     def finish(batches):
         for batch in batches:
             out = []
-            for raw, blob in zip(_opened(batch), batch.column("_gone").to_pylist()):
+            for raw, blob, more in zip(_opened(batch), batch.column("_gone").to_pylist(), batch.column("_places").to_pylist()):
+                if more:
+                    x = np.array(more, np.int64)
+                    blob = (blob or b"") + np.stack([x >> 32, x & 0xFFFFFFFF], 1).astype("<i4").tobytes()
                 cuts = merge(blob, len(raw)) if blob else np.zeros((0, 2), np.int64)
                 kept, at = [], 0
                 for a, b in cuts.tolist():

@@ -106,6 +106,44 @@ def test_suffix_dedup(spark):
     assert {r.n_removed for r in dedup(null, ["doc_id"], 50).collect()} == {0}
 
 
+def test_suffix_dedup_of_words(spark):
+    from isochron.llm.suffix_dedup import dedup
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "bcd", "'a", "-", "é-"], rng.integers(0, 60))) for _ in range(60)]
+    raws = [t.encode() for t in texts]
+    loose = b"-'"
+
+    def short(x):
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", x)]
+        lead = [a + (len(x[a:b]) - len(x[a:b].lstrip(loose))) * bool(x[a:b].strip(loose)) for a, b in w]
+        tail = [b - (len(x[a:b]) - len(x[a:b].rstrip(loose))) * bool(x[a:b].strip(loose)) for a, b in w]
+        return [(lead[i], tail[i + 4]) for i in range(len(w) - 4) if tail[i + 4] - lead[i] < 20]
+
+    got = {r.doc_id: r.n_removed for r in dedup(table(spark, texts), ["doc_id"], 20, words=5).collect()}
+    had, fewer = set(), 0
+    for i, x in enumerate(raws):
+        cover = bytearray(len(x))
+        for a, b in [(a, a + 20) for a in range(len(x) - 19)] + short(x):
+            if x[a:b] in had:
+                cover[a:b] = b"\1" * (b - a)
+        assert got[i] == sum(cover), i
+        fewer += sum(cover)
+        had |= {x[a : a + 20] for a in range(len(x) - 19)} | {x[a:b] for a, b in short(x)}
+    assert fewer
+
+
+def test_pipeline_cuts_short_worded_passages(spark):
+    import corpus_pipeline
+
+    own = lambda c: " ".join(f"{c}word{i}" for i in range(60))
+    over, fifty = " ".join(f"{i:02}" for i in range(10, 61)), " ".join(f"x{i:02}" for i in range(50))
+    texts = [f"{own('a')} {over} {own('b')}\n{fifty}", f'{own("c")} "{over}" {own("d")} {fifty} e', None]
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeated_passages(spark, table(spark, texts), "").collect()}
+    cut = texts[1].replace(over, "")
+    assert kept == {0: (texts[0], 0), 1: (cut, len(cut)), 2: (None, 0)}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("ab", min_size=24, max_size=24), min_size=1, max_size=12))
 def test_columns_find_equal_strings(rows):
