@@ -2,10 +2,12 @@
 
 Each text's counts come from one pass over its bytes. A feature's sketch is a histogram over buckets of bounded
 relative error (a power of two and SUB steps within it), so sketches merge by adding their counts, whatever the
-order, and the result is the same on every run. Each (lang, source) that has at least `least` documents gets fences
-from its own sketch: the quartiles widened by `reach` times their distance, and at least by the feature's slack. A
-smaller group takes the merged sketch of its language, and where that's small as well, that of all documents. The
-fences are joined back to the documents, which are kept when all their features lie within.
+order, and the result is the same on every run. Each (lang, source) gets fences from a low quantile, the median and a
+high one of its sketch: the high fence is the high quantile plus `reach` times its distance from the median, the low
+fence likewise. A group's quantiles are blended by count with those of its language, which weigh as much as `least`
+documents, and a language's likewise with those of all documents. Where the blended high quantile equals the median
+(no such spread at any level), the feature's floor is the distance of the high fence from it. The fences are joined
+back to the documents, which are kept when all their features lie within.
 
 Defined results: a null or empty text has no words and fails the base rules; a null lang or source is a group of its
 own; repeated rows each get their row and each count in the sketches; other columns are ignored.
@@ -31,12 +33,13 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 #: Steps within a power of two: a bucket is at most 1/SUB of its value wide.
 SUB = 32
 
-#: Features in whole per-milles, and the least width of their fences.
+#: Features in whole per-milles; the low and high quantiles of their fences; the floor where the high one is the median.
+#: Symbols have the upper quartile, as what lies above it can be all junk (a tenth of some groups).
 FEATURES = {
-    "word_length": (lambda: F.expr("word_chars * 1000 div greatest(n_words, 1L)"), 1000),
-    "symbols": (lambda: F.expr("n_symbols * 1000 div greatest(n_words, 1L)"), 100),
-    "dup_lines": (lambda: F.expr("n_dup_lines * 1000 div greatest(n_words, 1L)"), 50),
-    "repeats": (lambda: F.expr("n_repeat_words * 1000 div greatest(n_words, 1L)"), 250),
+    "word_length": (lambda: F.expr("word_chars * 1000 div greatest(n_words, 1L)"), 0.1, 0.9, 1000),
+    "symbols": (lambda: F.expr("n_symbols * 1000 div greatest(n_words, 1L)"), 0.0, 0.75, 100),
+    "dup_lines": (lambda: F.expr("n_dup_lines * 1000 div greatest(n_words, 1L)"), 0.0, 0.99, 50),
+    "repeats": (lambda: F.expr("n_repeat_words * 1000 div greatest(n_words, 1L)"), 0.0, 0.99, 250),
 }
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,7 +111,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, feature, bucket, n, over the documents that pass the base rules. A value below 2 * SUB is its own
     bucket; from there each power of two has SUB."""
-    long = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), value().alias("value")) for name, (value, _) in FEATURES.items()])).alias("x")
+    long = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), value().alias("value")) for name, (value, *_) in FEATURES.items()])).alias("x")
     rows = measured.filter("NOT base_failed").select("lang", "source", long).select("lang", "source", "x.*")
     bits = len(f"{SUB:b}")
     power = F.expr(f"greatest(length(bin(value)) - {bits}, 0)")
@@ -125,26 +128,35 @@ def _low(bucket: Column) -> Column:
 def fences(sketch: DataFrame, least: int = 200, reach: float = 3.0) -> DataFrame:
     """lang, source, feature, low, high for each group; coarser groups' sketches are sums of finer ones'."""
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    def constant(i: int) -> Column:
+        return F.create_map(*[x for name, row in FEATURES.items() for x in (F.lit(name), F.lit(float(row[i])))])[F.col("feature")]
+
+    def quantiles(keys: list[str]) -> DataFrame:
         own = Window.partitionBy(*keys, "feature")
         merged = sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
         rows = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket"))).withColumn("all", F.sum("n").over(own))
         at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), _low(F.col("bucket"))))
-        return rows.groupBy(*keys, "feature").agg(F.first("all").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+        rows = rows.withColumn("low_at", constant(1)).withColumn("high_at", constant(2))
+        return rows.groupBy(*keys, "feature").agg(F.max("all").alias("n"), at(F.col("low_at")).alias("low"), at(F.lit(0.5)).alias("mid"), at(F.col("high_at")).alias("high"))
 
     groups = sketch.select("lang", "source", "feature").distinct()
-    levels = [quartiles(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("feature").alias("_f"), F.struct("n", "q1", "q3").alias(f"level{i}")) for i, keys in enumerate((["lang", "source"], ["lang"], []))]
+    levels = [quantiles(keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("feature").alias("_f"), F.struct("n", "low", "mid", "high").alias(f"level{i}")) for i, keys in enumerate((["lang", "source"], ["lang"], []))]
     out = groups
     for i, (level, keys) in enumerate(zip(levels, (["lang", "source"], ["lang"], []))):
         on = F.col("feature") == F.col("_f")
         for k in keys:
             on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
         out = out.join(level, on, "left").select(*groups.columns, *[f"level{j}" for j in range(i + 1)])
-    enough = lambda i: F.when(F.col(f"level{i}.n") >= least, F.col(f"level{i}"))
-    slack = F.create_map(*[x for name, (_, width) in FEATURES.items() for x in (F.lit(name), F.lit(width))])[F.col("feature")]
-    out = out.withColumn("q", F.coalesce(enough(0), enough(1), F.col("level2")))
-    width = F.greatest(reach * (F.col("q.q3") - F.col("q.q1")), slack.cast("double"))
-    return out.select("lang", "source", "feature", (F.col("q.q1") - width).alias("low"), (F.col("q.q3") + width).alias("high"))
+
+    def blended(i: int, q: str) -> Column:
+        own, n = F.col(f"level{i}.{q}"), F.col(f"level{i}.n")
+        return own.cast("double") if i == 2 else (n * own + least * blended(i + 1, q)) / (n + least)
+
+    out = out.select("lang", "source", "feature", *[blended(0, q).alias(q) for q in ("low", "mid", "high")], constant(3).alias("floor"))
+    above, below = F.col("high") - F.col("mid"), F.col("mid") - F.col("low")
+    high = F.when(above > 0, F.col("high") + reach * above).otherwise(F.col("mid") + F.col("floor"))
+    low = F.when(below > 0, F.col("low") - reach * below).otherwise(F.col("mid") - F.col("floor"))
+    return out.select("lang", "source", "feature", low.alias("low"), high.alias("high"))
 
 
 def quality(docs: DataFrame, keep: list[str], least: int = 200, reach: float = 3.0, broadcast_groups: int = 20_000) -> DataFrame:
@@ -159,6 +171,6 @@ def quality(docs: DataFrame, keep: list[str], least: int = 200, reach: float = 3
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = ~F.col("base_failed")
-    for name, (value, _) in FEATURES.items():
+    for name, (value, *_) in FEATURES.items():
         within &= F.coalesce(value().between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(False))
     return out.select(*keep, *_COUNTS, "base_failed", within.alias("kept"))

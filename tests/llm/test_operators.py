@@ -55,6 +55,19 @@ def test_quality_counts(spark):
     assert quality(table(spark).limit(0), ["doc_id"]).count() == 0
 
 
+def test_quality_fences_adapt(spark):
+    from isochron.llm.quality_rules import fences
+
+    rows = [("en", "a", "dup_lines", 0, 960), ("en", "a", "dup_lines", 20, 40), ("en", "b", "dup_lines", 0, 1000), ("en", "c", "dup_lines", 40, 1), ("en", "a", "symbols", 0, 1000)]
+    got = {(r.source, r.feature): r.high for r in fences(spark.createDataFrame(rows, "lang string, source string, feature string, bucket int, n long")).collect()}
+    # the high quantile of "en" and of all documents is 20, four times which is 80
+    assert got[("a", "dup_lines")] == pytest.approx(80)
+    assert got[("b", "dup_lines")] == pytest.approx(4 * 200 * 20 / 1200)
+    mid, high = 40 / 201, (40 + 200 * 20) / 201  # one document hardly moves its source's fence
+    assert got[("c", "dup_lines")] == pytest.approx(high + 3 * (high - mid))
+    assert got[("a", "symbols")] == 100
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 5])
 def test_decontamination(spark, block_words):
     from isochron.llm.decontaminate import decontaminate
