@@ -5,7 +5,9 @@ adverts, forms, scripts, styles and comment sections weigh nothing, nor do lines
 lengths of WINDOW successive lines are summed at each line; where a sum rises to SURGE or more the text surges,
 after the last such sum it dives, and the lines that weigh something from the first surge to the last dive are the
 main text. In a page with `article` or `main` elements only lines there weigh something, and any sum above nothing
-is a surge; a page without them none of whose sums reaches SURGE takes its greatest sum for it.
+is a surge; a page without them none of whose sums reaches SURGE takes its greatest sum for it. A main element whose
+class, id or role names it a reader's comment is none and weighs nothing, unless it is the page's only one or nothing
+else weighs anything. Captions and formulas are text (but for a formula's annotations, which repeat it).
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray tags are tolerated (a
 container lasts to its end tag, its parent's end or the page's); repeated rows each get their row; columns that
@@ -26,34 +28,47 @@ from isochron.llm.words import slices
 #: Lines of a window, and the least sum of characters that a surge takes in a page without main elements.
 WINDOW, SURGE = 5, 40
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_MAIN = re.compile(r"<(?:article|main)\b", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|(?:annotation-xml|annotation)(?![^>]*/>))\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _SPACE = re.compile(r"\s+")
 
 #: Elements that stay inside a line.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-APART = frozenset("head nav header footer aside form button dialog menu figcaption".split())
+APART = frozenset("head nav header footer aside form button dialog menu".split())
 MAIN = frozenset("article main".split())
 #: Words in class, id or role that mark a part as not main text.
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|side-?bar|comments?|replies|reader-?comments|disqus|respond|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|tags?|search|skip|legal|copyright|complementary|contentinfo)(?:$|[\s_-])", re.I
 )
-#: Of a main element, which may name its topics in its class.
-_COMMENT = re.compile(r"\b(?:comments?|repl(?:y|ies))\b", re.I)
-_LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Of a main element, which may name its topics in its class: a whole word there that says it is a reader's comment.
+_COMMENT = re.compile(r"(?:(?:div|li|user|reader)[-_])?(?:comments?|repl(?:y|ies))(?:[-_](?:body|content|item|list|text|\d+))?", re.I)
+_LABEL = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     """Each block's text and weight: its characters, or 0 where it can't be main text; whether there are main elements."""
+    tokens = list(_TOKEN.finditer(page))
+    own = [_comment(m.group(4)) for m in tokens if (m.group(3) or "").lower() in MAIN and not m.group(2)]
+    several = len(own) > 1
+    out, mains = [], not all(own)
+    for mains, comments in dict.fromkeys([(mains, several), (False, several), (False, False)]):
+        out = _weighted(page, tokens, mains, comments)
+        if any(weight for _, weight in out):
+            break
+    return out, mains
+
+
+def _weighted(page: str, tokens: list[re.Match], mains: bool, comments: bool) -> list[tuple[str, int]]:
+    """The lines where only main elements weigh something (`mains`), and those that are comments nothing (`comments`)."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     linked = inside = 0  # characters in links; depth of open main elements
     stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, apart, main
     apart = 0
     in_link = False
-    mains = bool(_MAIN.search(page))
 
     def flush() -> None:
         nonlocal linked
@@ -65,7 +80,7 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         if m.start() > at:
             text.append(page[at : m.start()])
             if in_link:
@@ -73,7 +88,7 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         at = m.end()
         name = (m.group(3) or "").lower()
         if not name:
-            if m.group(1):
+            if m.group(1) and not m.group(1).lower().startswith("annotation"):  # stands within a line
                 flush()
             continue
         if name in INLINE:
@@ -97,8 +112,8 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             if not marked:
                 continue
         main = name in MAIN
-        away = bool(_COMMENT.search(m.group(4))) if main else name in APART and not (name == "header" and inside) or _marked(m.group(4))
-        stack.append((name, away, main and not away))
+        away = comments and _comment(m.group(4)) if main else name in APART and not (name == "header" and inside) or _marked(m.group(4))
+        stack.append((name, away, mains and main and not away))
         if m.group(4).endswith("/") and name not in MAIN | APART:
             stack.pop()
             continue
@@ -107,7 +122,11 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     rest = page[at:]
     text.append(rest.split("<", 1)[0] if re.search(r"<[a-zA-Z/!]", rest) else rest)
     flush()
-    return out, mains
+    return out
+
+
+def _comment(attributes: str) -> bool:
+    return bool(attributes) and any(_COMMENT.fullmatch(x) for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
 
 
 def _marked(attributes: str) -> bool:

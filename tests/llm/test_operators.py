@@ -267,6 +267,29 @@ def test_html(spark):
     assert sorted((r.text, r.n_chars) for r in extract(df, ["page_id", "url"]).collect()) == [("", 0), ("a", 1)]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article data-comments='12'><p>Hello</p></article>", "Hello"),
+        ("<article data-class='comment'><p>Hello</p></article><article>you</article>", "Hello\nyou"),
+        ("<main class='has-comments'><p>Hello</p></main>", "Hello"),
+        ("<article><p>Hello</p><article class='x comment' id=comment-5>no</article></article>", "Hello"),
+        ("<p>see<article class='comment'>Hello</article>", "see\nHello"),
+        ("<div>Body</div><article class='comment'>no</article><article class='reply'>no</article>", "Body"),
+        ("<article class='comment'>a</article><article class='reply'>b</article>", "a\nb"),
+        ("<!-- <article> --><p>Hello</p>", "Hello"),
+        ("<div>Body</div><aside><article>teaser</article></aside>", "Body"),
+        ("<article><figure><img><figcaption>Cap</figcaption></figure></article>", "Cap"),
+        ("<article>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>x=1</annotation></semantics></math> be.</article>", "Let x=1 be."),
+        ("<article><math><annotation-xml/><mi>x</mi></math> is<annotation-xml>y</annotation-xml> here</article>", "x is here"),
+    ],
+)
+def test_html_keeps_main_text(page, text):
+    from isochron.llm.html_extract import main_text
+
+    assert main_text(page) == text
+
+
 def test_toxicity(spark):
     from isochron.llm.toxicity import toxicity
 
