@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder of our own."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local run (as in tests) gets a folder of its
+    own; elsewhere no folder is shared for certain, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="isochron-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/isochron-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.parquet(folder)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -200,6 +200,6 @@ def token_output(docs: DataFrame, path: str, end_id: int = 0, folder: str | None
     """Writes the ids of all documents to `folder` and returns what its files hold, a row for each document."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    tokens = written(tokenise(docs, path, end_id))
+    tokens = written(tokenise(docs, path, end_id), "zstd")
     ranks = frequency_ranks(tokens, max(encoder(path, False).tokenizer.get_vocab_size(), end_id + 1))
     return read_files(spark, folder, write_files(tokens, ranks, folder))

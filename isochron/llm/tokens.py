@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from isochron.llm.words import LOWER, SPACE, give_back, ragged, strings, text_bytes
 
-#: Distinct stretches that a worker remembers before it starts afresh.
-CACHE = 150_000
+#: Distinct stretches in a generation of a worker's memory; it remembers two.
+CACHE = 300_000
 
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
@@ -71,22 +71,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and "<|" in x.content and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), None)
+        self.known: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        """A new generation. The one before stays until the next, and what is met again moves on from it, so that
+        common stretches are never encoded twice and rare ones go."""
+        self.old = (self.known, self.flat, self.first) if self.known else None
+        self.known = {}
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _remember(self, parts: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.first) - 1, len(self.first) - 1 + len(parts))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+
     def _distinct(self, parts: list[str]) -> np.ndarray:
         """Each part's number: ids flat[first[number]:first[number + 1]]."""
         if len(self.known) > CACHE:
             self._forget()
-        new = [x for x in dict.fromkeys(parts) if x not in self.known]
+        new = [x for x in parts if x not in self.known]
+        if new and self.old:
+            known, flat, first = self.old
+            again = [x for x in new if x in known]
+            at = np.fromiter(map(known.__getitem__, again), np.int64, len(again))
+            lengths = first[at + 1] - first[at]
+            self._remember(again, flat[ragged(first[at], lengths)], lengths)
+            new = [x for x in new if x not in known]
         if new:
-            flat, lengths = self._each(new)
-            self.known.update(zip(new, range(len(self.first) - 1, len(self.first) - 1 + len(new))))
-            self.flat = np.concatenate([self.flat, flat])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+            self._remember(new, *self._each(new))
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +120,18 @@ class Encoder:
         parts, first = _parts(LOWER[data] if self.drops_space and not _special(data) else data, places, self.drops_space)
         coded = parts.dictionary_encode()
         try:
-            distinct = coded.dictionary.cast(pa.large_string()).to_pylist()
+            distinct = coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
         except pa.ArrowInvalid:  # not UTF-8
             distinct = [x.decode("utf-8", "replace") for x in coded.dictionary.to_pylist()]
         which = self._distinct(distinct)[coded.indices.to_numpy(zero_copy_only=False)]
         each = self.first[which + 1] - self.first[which]
         done = np.concatenate([[0], np.cumsum(each)])
-        rows = len(places) - 1
-        starts = done[first] + np.arange(rows + 1)
+        starts = done[first] + np.arange(len(places))  # an end id follows each row
         out = np.empty(starts[-1], np.uint32)
+        out[starts[1:] - 1] = end_id
         keep = np.ones(len(out), bool)
         keep[starts[1:] - 1] = False
         out[keep] = self.flat[ragged(self.first[which], each)]
-        out[starts[1:] - 1] = end_id
         return out, starts
 
 
