@@ -2,27 +2,32 @@
 
 A text's set holds its distinct shingles of `words` words, as 64-bit hashes; a set is a node, so equal sets are one
 node however many documents have it. Two sets r and s with |r & s| * den >= num * |r | s| differ in at most
-(|r| + |s|) * (den - num) / (den + num) elements. Sizes are banded by powers of two; a set takes part in its own
-band, and in the next if a partner can be there. Each band deals the domain of shingles into n partitions by hash,
-with n above the greatest difference k in the band, so linked sets agree wholly on at least n - k partitions. Of
-the signatures (a partition with all that the set has in it) each set keeps as many as its own greatest difference
-plus one, the strongest first by an order that only the signature's content sets (most elements, then hash): if a
-strongest common signature were dropped by one of the sets, all common ones would be, and that's more than it
-drops. So linked sets always share a kept signature, empty and thin partitions are rarely kept, and sets so small
+(|r| + |s|) * (den - num) / (den + num) elements. Sizes are banded by steps of the square root of two; a set takes
+part in its own band, and in the next if a partner can be there.
+
+Signatures. Each band, with k the greatest difference in it, deals the domain of shingles by hash into n1 first-level
+partitions with more than k / (K2 + 1), and each of those into N2 second-level ones. Linked sets differ in at most K2
+of the N2 somewhere, so they agree wholly on N2 - K2 of them: a signature is such a subset of second-level partitions
+with all that the set has in it, and each set enumerates all subsets. Of these it keeps the strongest by an order
+that only the signature's content sets (most elements, then hash), one more than its own greatest difference can
+spoil: if a strongest common signature were dropped by one of the sets, all common ones would be, and that's more
+than it drops. So linked sets always share a kept signature, empty and thin ones are rarely kept, and sets so small
 that k is 0 need none, as only equal sets are linked.
 
-Signatures that two nodes or more share give candidates. First each node is compared with the least node of each
-of its signatures (through the least one of its own task, so that a signature reaches the shuffle once a task, and
-a hot one can't gather its group); sets are compared in full, and components formed. Then come the signatures whose
-nodes still lie in several components. Where few nodes have one, all pairs across components are compared. The nodes
-of larger ones (say, copies each changed so much that few pairs link) are matched anew by an exact prefix filter that
-orders the domain so that what most of them share comes last, and pairs across components that agree on an early
-element are compared. Pairs within a component need no comparison, so nothing that could change a component is left
-out.
+Signatures that two nodes or more share give candidates, in two steps, each linear in the groups' sizes.
+
+1. Each node is compared with one node of each of its signatures' groups, the one that has most shared signatures (of
+   copies of one text it's the nearest to that text). Sets are compared in full, and components formed.
+2. Then come the signatures whose nodes still lie in several components. A pair inside a component needs no
+   comparison, so nodes outside a group's largest component are paired with the rest. A pair is left out only where
+   its sizes rule a link out: what a node shares with another is at most its `core`, the elements that any other node
+   of the groups of over FEW has at all (counted by a groupBy, summed before the shuffle), so sets of n and m
+   elements need cores of (n + m) * num / (num + den) at least. Copies that were each changed too much to link have
+   no such core, and go before any pair is made.
 
 Defined results: a null text, or one without words, has an empty set and is its own component; a text with fewer
 words than a shingle is one shingle; a null doc_id has no component (null) and links nothing; repeated rows fall
-into one component; other columns are ignored.
+into one component; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,18 +40,21 @@ from pyspark.sql import functions as F
 
 from isochron.llm.components import components
 from isochron.llm.store import written
-from isochron.llm.words import LOWER, SPACE, slices, split_words, text_bytes
+from isochron.llm.words import LOWER, SPACE, ragged, slices, split_words, text_bytes
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
-#: Signatures that a task sorts at once.
-FLUSH = 1_000_000
+#: Signatures that a task sorts at once, rows in a batch that it returns, and bytes of sets that it compares at once.
+FLUSH, ROWS, PAIR_BYTES = 1_000_000, 100_000, 8 << 20
+
+#: Second-level partitions, and how many of them may differ in a signature.
+N2, K2 = 3, 1
 
-#: Nodes of a signature up to which all pairs across components are compared; beyond, the prefix filter finds them.
-SMALL_GROUP = 16
+#: Nodes in a group up to which its nodes' cores aren't counted: their pairs are few anyhow.
+FEW = 16
 
-#: Nodes whose elements come last in the prefix filter's order. The order makes it fast; any order is exact.
-HUBS = 1000
+#: Least sizes of the bands.
+BANDS = np.unique(np.ceil(np.sqrt(2.0) ** np.arange(64)).astype(np.int64))
 
 #: Candidates' doc_ids that are broadcast at most (8 bytes each); beyond that the texts are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
@@ -108,34 +116,40 @@ def nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all rows, and the row of each."""
     size = np.diff(first)
-    band = np.frexp(np.maximum(size, 1))[1] - 1  # size from 2 ** band
+    band = np.searchsorted(BANDS, np.maximum(size, 1), "right") - 1
     out, of = [], []
     for step in (0, 1):  # own band, and the next where a partner can be
-        top = np.left_shift(np.int64(1), band + 1 + step) - 1
+        low, top = BANDS[band + step], BANDS[band + step + 1] - 1
         partner = np.minimum(size * den // num, top)
         most = (size + partner) * (den - num) // (den + num)
-        rows = np.flatnonzero((most > 0) & (size > 0) & (partner > top // 2 if step else True))
+        rows = np.flatnonzero((most > 0) & (size > 0) & (partner >= low))
         if not len(rows):
             continue
-        k = 2 * top[rows] * (den - num) // (den + num) + 1
-        n = k + (k + 3) // 4
-        base = np.cumsum(n) - n
+        k = 2 * top[rows] * (den - num) // (den + num)
+        n1 = (5 * (k + 1)) // (4 * (K2 + 1)) + 1
+        cells = N2 * n1
+        base = np.cumsum(cells) - cells
         lengths = size[rows]
-        at = np.repeat(first[:-1][rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        h = hashes[at]
+        h = hashes[ragged(first[:-1][rows], lengths)]
         salt = (band[rows] + step).astype(np.uint64)
         with np.errstate(over="ignore"):
-            part = (_mix(h + np.repeat(salt, lengths) * _P) % np.repeat(n, lengths).astype(np.uint64)).astype(np.int64)
-            slot = np.repeat(base, lengths) + part
-            count = np.bincount(slot, minlength=int(n.sum()))
-            sums = np.zeros(int(n.sum()), np.uint64)
+            cell = (_mix(h + np.repeat(salt, lengths) * _P) % np.repeat(cells, lengths).astype(np.uint64)).astype(np.int64)
+            slot = np.repeat(base, lengths) + cell
+            count = np.bincount(slot, minlength=int(cells.sum()))
+            sums = np.zeros(len(count), np.uint64)
             np.add.at(sums, slot, _mix(h ^ _P))
-            owner = np.repeat(np.arange(len(rows)), n)
-            number = (np.arange(len(owner)) - base[owner]).astype(np.uint64)
+            # the subsets of N2 - K2 second-level partitions: all but one of each first-level partition
+            group = np.repeat(np.arange(len(count) // N2), N2)
+            number = (np.arange(len(count)) - np.repeat(base, cells)).astype(np.uint64)
+            own = _mix(sums + number * _P)
+            count = np.bincount(group, count)[group].astype(np.int64) - count
+            sums = np.add.reduceat(own, np.arange(0, len(own), N2))[group] - own
+            owner = np.repeat(np.arange(len(rows)), cells)
             sums = _mix(_mix(sums + number * _P) + salt[owner])
+        spoilt = 2 * np.minimum(most[rows], n1) + np.maximum(0, most[rows] - n1)  # of a partition's three, one difference spoils two
         order = np.lexsort((sums, -count, owner))
         rank = np.arange(len(order)) - base[owner[order]]
-        kept = order[rank <= most[rows][owner[order]]]
+        kept = order[rank <= spoilt[owner[order]]]
         out.append(sums[kept])
         of.append(rows[owner[kept]])
     if not out:
@@ -171,10 +185,10 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def shared_signatures(table: DataFrame) -> DataFrame:
-    """(sig, node, rep) for signatures of two nodes or more. rep is the least node of the task's group, and has a
-    row itself with the least one of all tasks' groups."""
-    spark = table.sparkSession
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(sig, node) for signatures of two nodes or more. Nodes of a task that share a signature are settled there;
+    only the least of them goes on to where other tasks' are, so a signature reaches the shuffle once a task and a
+    hot one can't gather its group."""
+    buckets = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches):
         held, n = [], 0
@@ -189,23 +203,21 @@ def shared_signatures(table: DataFrame) -> DataFrame:
             yield from _dealt(held, buckets)
 
     def gather(batches):
-        sigs, own, found = [], [], []
+        sigs, own = [], []
         for batch in batches:
             x, first = _read(batch.column("sigs"), "<u8")
             y, _ = _read(batch.column("nodes"), "<i8")
             local = np.repeat(batch.column("local").to_numpy(zero_copy_only=False), np.diff(first))
-            z, _ = _read(batch.column("reps"), "<i8")
             if local.any():
-                yield _members(x[local], y[local], z)  # only local rows have reps
+                yield from _members(x[local], y[local])
             sigs.append(x[~local])
             own.append(y[~local])
         if sigs:
-            x, y = np.concatenate(sigs), np.concatenate(own)
-            x, y, rep, many = _grouped(x, y)
-            yield _members(x[many], y[many], rep[many])
+            x, y, _, many = _grouped(np.concatenate(sigs), np.concatenate(own))
+            yield from _members(x[many], y[many])
 
-    dealt = table.filter("doc_id IS NOT NULL AND octet_length(sigs) > 0").select("node", "sigs").mapInArrow(deal, "bucket int, local boolean, sigs binary, nodes binary, reps binary")
-    return dealt.repartition("bucket").mapInArrow(gather, "sig long, node long, rep long")
+    dealt = table.filter("doc_id IS NOT NULL AND octet_length(sigs) > 0").select("node", "sigs").mapInArrow(deal, "bucket int, local boolean, sigs binary, nodes binary")
+    return dealt.repartition("bucket").mapInArrow(gather, "sig long, node long").distinct()
 
 
 def _grouped(sigs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,35 +234,38 @@ def _grouped(sigs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sigs, own, np.repeat(own[at], lengths), np.repeat(lengths > 1, lengths)
 
 
-def _members(sigs: np.ndarray, own: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(own), pa.array(reps)], ["sig", "node", "rep"])
+def _members(sigs: np.ndarray, own: np.ndarray):
+    for a in range(0, len(sigs), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[a : a + ROWS].view(np.int64)), pa.array(own[a : a + ROWS])], ["sig", "node"])
 
 
 def _dealt(held: list, buckets: int):
     sigs, own, rep, many = _grouped(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-    for local, keep in ((False, own == rep), (True, many)):  # one row of each signature goes on; groups stay known
-        x, y, z = sigs[keep], own[keep], rep[keep]
-        bucket = (x % np.uint64(buckets)).astype(np.int64)
+    for local, keep in ((False, own == rep), (True, many)):  # one row of each signature goes on; groups are known
+        x, y = sigs[keep], own[keep]
+        bucket = ((_mix(y.view(np.uint64)) if local else x) % np.uint64(buckets)).astype(np.int64)  # groups may lie anywhere
         order = np.argsort(bucket, kind="stable")
         used, first = np.unique(bucket[order], return_index=True)
         if len(used):
             first = np.append(first, len(x))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array(np.full(len(used), local)), _blobs(x[order], first), _blobs(y[order], first), _blobs(z[order] if local else z[:0], first if local else np.zeros(len(first), np.int64))],
-                ["bucket", "local", "sigs", "nodes", "reps"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), local)), _blobs(x[order], first), _blobs(y[order], first)], ["bucket", "local", "sigs", "nodes"])
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
     """(node, set) for the nodes in `wanted`, made anew from the text of one document each."""
     ids = written(table.filter("doc_id IS NOT NULL").join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     if ids.count() <= BROADCAST_IDS:
-        shared = docs.sparkSession.sparkContext.broadcast(np.array([r.doc_id for r in ids.collect()], np.int64))
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
 
         def pick(batches):
+            own = shared.value
             for batch in batches:
+                if not len(own):
+                    continue
                 known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(np.isin(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), shared.value) & known))
+                doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(own, doc), len(own) - 1)
+                yield batch.filter(pa.array((own[at] == doc) & known))
 
         chosen = docs.mapInArrow(pick, docs.schema)
     else:
@@ -259,16 +274,16 @@ def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) ->
     def make(batches):
         for batch in slices(batches):
             hashes, first = shingle_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), _blobs(hashes, first)], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), pa.array(np.diff(first)), _blobs(hashes, first)], ["node", "n", "set"])
 
-    return written(chosen.mapInArrow(make, "node long, set binary").dropDuplicates(["node"]))
+    return written(chosen.mapInArrow(make, "node long, n long, set binary").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) pairs of nodes whose sets are linked."""
 
     def compare(batches):
-        for batch in batches:
+        for batch in slices(batches, ("x", "y"), PAIR_BYTES):
             (x, fx), (y, fy) = _read(batch.column("x"), "<u8"), _read(batch.column("y"), "<u8")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
@@ -286,31 +301,50 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return written(two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b) pairs of nodes of different components that have a `key` in common."""
-    p, q = rows.alias("p"), rows.alias("q")
-    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component"))
-    return p.join(q, on).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-
+def elements(sets: DataFrame) -> DataFrame:
+    """(key, node) of each element of each set."""
 
-def rare_first(sets: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node) of the elements one of which linked sets must share: the first n - ceil(n * num / den) + 1 under
-    any one order of the domain. Here elements of the hubs' sets come last, as most of a large group has those."""
-    common = sets.join(hubs, "node", "left_semi").select("set")
-    last = np.unique(np.concatenate([np.frombuffer(r[0], "<u8") for r in common.toLocalIterator()] or [np.zeros(0, np.uint64)]))
-    shared = sets.sparkSession.sparkContext.broadcast(last)
-
-    def first_elements(batches):
-        for batch in batches:
+    def take(batches):
+        for batch in slices(batches, "set"):
             values, first = _read(batch.column("set"), "<u8")
-            n = np.diff(first)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((values, np.isin(values, shared.value), row))
-            keep = np.arange(len(row)) - np.repeat(first[:-1], n) < (n - -(-n * num // den) + 1)[row]
-            at = order[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), batch.column("node").take(pa.array(row[at]))], ["key", "node"])
-
-    return sets.select("node", "set").mapInArrow(first_elements, "key long, node long")
+            own = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(first))
+            for a in range(0, len(own), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(values[a : a + ROWS].view(np.int64)), pa.array(own[a : a + ROWS])], ["key", "node"])
+
+    return sets.select("node", "set").mapInArrow(take, "key long, node long")
+
+
+def central(members: DataFrame) -> DataFrame:
+    """(node, rep): each node with the node of each of its groups that has most shared signatures, ties to the least."""
+    fame = members.groupBy("node").agg(F.count("*").alias("fame"))
+    first = members.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", (-F.col("node")).alias("minus"))).alias("top"))
+    return members.join(first, "sig").select("node", (-F.col("top.minus")).alias("rep")).filter("node <> rep")
+
+
+def crossing(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(sig, node, component, main, many): signatures whose nodes lie in several components; main is the component
+    with most of them."""
+    rows = members.join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    parts = rows.groupBy("sig", "component").agg(F.count("*").alias("size"))
+    groups = parts.groupBy("sig").agg(F.sum("size").alias("many"), F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main"))
+    return rows.join(groups.filter("parts > 1").drop("parts"), "sig")
+
+
+def across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) pairs of nodes of different components in a group, where their sizes and cores allow a link."""
+    sizes = sets.select("node", "n")
+    large = rows.filter(F.col("many") > FEW).select("node").distinct()
+    alone = elements(sets.join(large, "node", "left_semi")).groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    # an element that no other node of large groups has may be in a node of a small one: that pair has no such bound
+    core = F.when(F.col("many") > FEW, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
+    reach = F.least(F.floor(core * (num + den) / num) - F.col("n"), F.floor(F.col("n") * den / num))
+    rows = rows.join(sizes, "node").join(alone, "node", "left").withColumn("reach", reach.cast("long"))
+    least = rows.groupBy("sig").agg(F.min("n").alias("least"))
+    rows = written(rows.join(least, "sig").filter("reach >= least").select("sig", "node", "component", "main", "n", "reach"))
+    p, q = rows.filter("component <> main").alias("p"), rows.alias("q")
+    on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.n") <= F.col("q.reach")) & (F.col("q.n") <= F.col("p.reach"))
+    return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -318,24 +352,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(described(docs, words, num, den))
     members = written(shared_signatures(table))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    stars = members.filter("node <> rep").select(*pair("node", "rep")).distinct()
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    stars = written(stars)
-    links = verified(stars, sets_of(ends(stars), docs, table, words), num, den)
+    stars = written(central(members).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())
+    sets = sets_of(members.select("node"), docs, table, words)
+    links = verified(stars, sets, num, den)
     known = written(components(links))
-    component = F.coalesce("component", "node").alias("component")
-    rows = written(members.join(known, "node", "left").select(F.col("sig").alias("key"), "node", "rep", component))
-    groups = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).filter("low < high")
-    rows = written(rows.join(groups.select("key", "many"), "key"))
-    large = rows.filter(F.col("many") > SMALL_GROUP)
-    hubs = large.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(HUBS).select("node")
-    sets = sets_of(rows.select("node"), docs, table, words)
-    keys = rare_first(sets.join(large.select("node").distinct(), "node", "left_semi"), hubs, num, den).join(known, "node", "left").select("key", "node", component)
-    keys = written(keys)
-    split = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    pairs = across(rows.filter(F.col("many") <= SMALL_GROUP)).unionByName(across(keys.join(split, "key", "left_semi")))
-    more = verified(pairs.distinct().join(stars, ["a", "b"], "left_anti"), sets, num, den)
+    more = verified(across(crossing(members, known), sets, num, den).join(stars, ["a", "b"], "left_anti"), sets, num, den)
     if not more.isEmpty():
         known = written(components(links.unionByName(more)))
     labelled = table.select("doc_id", "n", "node").join(known, "node", "left")

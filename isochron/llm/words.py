@@ -30,10 +30,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of at most `most` bytes of text, or one row."""
+def slices(batches, column: str | tuple[str, ...] = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most `most` bytes of text (or of several columns), or one row."""
+    columns = (column,) if isinstance(column, str) else column
     for batch in batches:
-        ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        ends = sizes.cumsum()
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
