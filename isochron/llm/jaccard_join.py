@@ -20,10 +20,11 @@ Signatures that two nodes or more share give candidates, in two steps, each line
    copies of one text it's the nearest to that text). Sets are compared in full, and components formed.
 2. Then come the signatures whose nodes still lie in several components. A pair inside a component needs no
    comparison, so nodes outside a group's largest component are paired with the rest. A pair is left out only where
-   its sizes rule a link out: what a node shares with another is at most its `core`, the elements that any other node
-   of the groups of over FEW has at all (counted by a groupBy, summed before the shuffle), so sets of n and m
-   elements need cores of (n + m) * num / (num + den) at least. Copies that were each changed too much to link have
-   no such core, and go before any pair is made.
+   its sizes rule a link out. The elements of the nodes in groups of over FEW are counted (by a groupBy, summed before
+   the shuffle). Two such nodes may have an element in common that RARE of them or fewer have: those are paired by
+   it, RARE at most an element. Otherwise what they share lies in their `cores`, the rest of their elements, and
+   sets of n and m elements need cores of (n + m) * num / (num + den) at least. Copies that were each changed too much
+   to link have no such core, and go before any pair is made.
 
 Defined results: a null text, or one without words, has an empty set and is its own component; a text with fewer
 words than a shingle is one shingle; a null doc_id has no component (null) and links nothing; repeated rows fall
@@ -53,6 +54,9 @@ N2, K2 = 3, 1
 #: Nodes in a group up to which its nodes' cores aren't counted: their pairs are few anyhow.
 FEW = 16
 
+#: Nodes with an element up to which it's outside their cores.
+RARE = 8
+
 #: Least sizes of the bands.
 BANDS = np.unique(np.ceil(np.sqrt(2.0) ** np.arange(64)).astype(np.int64))
 
@@ -333,18 +337,25 @@ def crossing(members: DataFrame, known: DataFrame) -> DataFrame:
 def across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) pairs of nodes of different components in a group, where their sizes and cores allow a link."""
     sizes = sets.select("node", "n")
-    large = rows.filter(F.col("many") > FEW).select("node").distinct()
-    alone = elements(sets.join(large, "node", "left_semi")).groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1")
-    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
-    # an element that no other node of large groups has may be in a node of a small one: that pair has no such bound
-    core = F.when(F.col("many") > FEW, F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
-    reach = F.least(F.floor(core * (num + den) / num) - F.col("n"), F.floor(F.col("n") * den / num))
-    rows = rows.join(sizes, "node").join(alone, "node", "left").withColumn("reach", reach.cast("long"))
+    large = rows.filter(F.col("many") > FEW).select("node", "component").distinct()
+    own = elements(sets.join(large, "node", "left_semi"))
+    rare = written(own.join(own.groupBy("key").agg(F.count("*").alias("times")).filter(F.col("times") <= RARE), "key"))
+    alone = rare.groupBy("node").agg(F.count("*").alias("rare"))
+    # pairs of small groups have no such bound, as the elements there aren't counted
+    core = F.when(F.col("many") > FEW, F.col("n") - F.coalesce("rare", F.lit(0))).otherwise(F.col("n"))
+    reach = lambda most: F.floor(most * (num + den) / num) - F.col("n")
+    alike = F.floor(F.col("n") * den / num)
+    rows = rows.join(sizes, "node").join(alone, "node", "left").withColumn("reach", F.least(reach(core), alike).cast("long"))
     least = rows.groupBy("sig").agg(F.min("n").alias("least"))
     rows = written(rows.join(least, "sig").filter("reach >= least").select("sig", "node", "component", "main", "n", "reach"))
     p, q = rows.filter("component <> main").alias("p"), rows.alias("q")
     on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.n") <= F.col("q.reach")) & (F.col("q.n") <= F.col("p.reach"))
-    return p.join(q, on).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    pair = (F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    bounded = p.join(q, on).select(*pair)
+    ends = rare.filter("times > 1").join(large, "node").join(sizes, "node").withColumn("reach", alike.cast("long"))
+    p, q = ends.alias("p"), ends.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.n") <= F.col("q.reach")) & (F.col("q.n") <= F.col("p.reach"))
+    return bounded.unionByName(p.join(q, on).select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
