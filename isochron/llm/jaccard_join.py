@@ -217,8 +217,11 @@ def shared_signatures(table: DataFrame) -> DataFrame:
             sigs.append(x[~local])
             own.append(y[~local])
         if sigs:
-            x, y, _, many = _grouped(np.concatenate(sigs), np.concatenate(own))
-            yield from _members(x[many], y[many])
+            sigs, own = np.concatenate(sigs), np.concatenate(own)
+            for part in range(8):  # an eighth is sorted at a time
+                here = sigs >> np.uint64(61) == part
+                x, y, _, many = _grouped(sigs[here], own[here])
+                yield from _members(x[many], y[many])
 
     dealt = table.filter("doc_id IS NOT NULL AND octet_length(sigs) > 0").select("node", "sigs").mapInArrow(deal, "bucket int, local boolean, sigs binary, nodes binary")
     return dealt.repartition("bucket").mapInArrow(gather, "sig long, node long").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm.store import written
-from isochron.llm.tokens import SLICE, encoder
+from isochron.llm.tokens import SLICE, encoder, owner
 from isochron.llm.words import slices
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,7 +35,7 @@ def cut(docs: DataFrame, path: str, end_id: int, size: int, drops_space: bool =
 
     def encode(batches):
         own = encoder(path, drops_space)
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SLICE, owner=owner(path, drops_space)):
             ids, starts = own.encode(batch.column("text"), end_id)
             n = np.diff(starts)
             pieces = -(-n // size)

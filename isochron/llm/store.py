@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -22,12 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/isochron-{uuid.uuid4().hex}"
 
 
+#: Rows in the batches that workers get, and fewer where the session says so: texts are long, and a batch is held whole.
+BATCH = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """What runs inside gets batches of BATCH rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    writer = df.write.option("compression", compression) if compression else df.write
-    writer.parquet(folder)
+    with small_batches(spark):
+        (df.write.option("compression", compression) if compression else df.write).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -151,7 +151,8 @@ def _gathered(batches, kinds: list[str]):
 
 
 def _buckets(df: DataFrame) -> int:
-    return 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many as there are partitions to deal to, so that a task sends no more rows than Spark writes blocks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def candidates(docs: DataFrame, span: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm.store import open_fs, shared_folder, written
-from isochron.llm.tokens import SLICE, encoder
+from isochron.llm.tokens import SLICE, encoder, owner
 from isochron.llm.words import slices
 
 MAGIC = b"SVBRANK1"
@@ -57,7 +57,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, drops_space: bool = False)
 
     def encode(batches):
         own = encoder(path, drops_space)
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SLICE, owner=owner(path, drops_space)):
             ids, starts = own.encode(batch.column("text"), end_id)
             data = pa.py_buffer(ids.astype("<u2" if narrow else "<u4"))
             blobs = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((starts * width).astype(np.int32)), data])

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from isochron.llm.words import LOWER, SPACE, give_back, ragged, strings, text_bytes
+from isochron.llm.words import LOWER, SPACE, held, ragged, strings, text_bytes
 
 #: Distinct stretches in a generation of a worker's memory; it remembers two.
 CACHE = 300_000
@@ -67,7 +67,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores; threads here would each hold memory
         from tokenizers import Tokenizer
 
-        give_back()
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and "<|" in x.content and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), None)
@@ -135,11 +134,10 @@ class Encoder:
         return out, starts
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+def encoder(path: str, drops_space: bool) -> Encoder:
+    """One for each worker process, as long as it tokenises."""
+    return held(owner(path, drops_space), lambda: Encoder(path, drops_space))
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """One for each worker process."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = Encoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+def owner(path: str, drops_space: bool) -> tuple:
+    return "tokens", path, drops_space

@@ -23,6 +23,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+_HELD: dict = {}
+
+
+def held(owner: tuple, make):
+    """What a worker keeps between the tasks of one operator; it goes when the worker turns to another."""
+    if owner not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def give_back() -> None:
     """Hands freed memory back to the system, as a worker outlives its tasks."""
     pa.default_memory_pool().release_unused()
@@ -30,9 +42,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches, column: str | tuple[str, ...] = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str | tuple[str, ...] = "text", most: int = SLICE_BYTES, owner: tuple | None = None) -> Iterator[pa.RecordBatch]:
     """Each batch in slices of at most `most` bytes of text (or of several columns), or one row."""
     columns = (column,) if isinstance(column, str) else column
+    if owner not in _HELD:
+        _HELD.clear()
+        give_back()
     for batch in batches:
         sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
         ends = sizes.cumsum()
