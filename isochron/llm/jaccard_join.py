@@ -85,7 +85,8 @@ def shingle_sets(column: pa.Array, words: int, is_word: np.ndarray = ~SPACE) ->
     with np.errstate(over="ignore"):
         out = h.copy()
         for i in range(1, words):
-            out[: len(h) - i] = out[: len(h) - i] * _P + h[i:]
+            n_more = max(0, len(h) - i)
+            out[:n_more] = out[:n_more] * _P + h[i:]
         short = np.flatnonzero((n < words) & (n > 0))
         for r in short.tolist():  # fewer words than a shingle has
             x = np.uint64(n[r])
