@@ -46,7 +46,7 @@ from isochron.llm.words import LOWER, SPACE, ragged, slices, split_words, text_b
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 #: Signatures that a task sorts at once, rows in a batch that it returns, and bytes of sets that it compares at once.
-FLUSH, ROWS, PAIR_BYTES = 1_000_000, 100_000, 8 << 20
+FLUSH, ROWS, PAIR_BYTES = 300_000, 50_000, 4 << 20
 
 #: Second-level partitions, and how many of them may differ in a signature.
 N2, K2 = 3, 1
@@ -262,29 +262,28 @@ def _dealt(held: list, buckets: int):
 def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
     """(node, set) for the nodes in `wanted`, made anew from the text of one document each."""
     ids = written(table.filter("doc_id IS NOT NULL").join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    shared = None
     if ids.count() <= BROADCAST_IDS:
         shared = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["doc_id"].to_numpy(np.int64)))
+    else:
+        docs = docs.join(ids.distinct(), "doc_id", "left_semi")
 
-        def pick(batches):
-            own = shared.value
-            for batch in batches:
-                if not len(own):
-                    continue
+    def pick(batches):  # in the same worker as what follows
+        for batch in batches:
+            if shared is None:
+                yield batch
+            elif len(shared.value):
                 known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 doc = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(own, doc), len(own) - 1)
-                yield batch.filter(pa.array((own[at] == doc) & known))
-
-        chosen = docs.mapInArrow(pick, docs.schema)
-    else:
-        chosen = docs.join(ids.distinct(), "doc_id", "left_semi")
+                at = np.minimum(np.searchsorted(shared.value, doc), len(shared.value) - 1)
+                yield batch.filter(pa.array((shared.value[at] == doc) & known))
 
     def make(batches):
-        for batch in slices(batches):
+        for batch in slices(pick(batches)):
             hashes, first = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), pa.array(np.diff(first)), _blobs(hashes, first)], ["node", "n", "set"])
 
-    return written(chosen.mapInArrow(make, "node long, n long, set binary").dropDuplicates(["node"]))
+    return written(docs.mapInArrow(make, "node long, n long, set binary").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -55,7 +55,7 @@ def learn(docs: DataFrame, sample_docs: int = 300, share_bytes: int = 1500, dict
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], margin: float = 0.002, block_bytes: int = 4096) -> DataFrame:
-    """Columns `keep` with lang_pred, score and rejected."""
+    """Columns `keep` with lang_pred, score and rejected. The text goes to the workers once, also where it's kept."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # dictionary_bytes for each language at most
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
@@ -68,9 +68,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], m
             words = zstandard.ZstdCompressionDict(shared.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(level=LEVEL)
             coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, name):
             found, scores = [], []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(name).to_pylist():
                 if not langs or text is None or not any(map(str.isalpha, text)):
                     found.append(UNKNOWN)
                     scores.append(0.0)
@@ -84,7 +84,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], m
             columns = [batch.column(k) for k in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array([w == UNKNOWN or s < margin for w, s in zip(found, scores)], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    name = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"
+    source = docs.select(*keep, *([F.col("text").cast("string").alias(name)] if name != "text" else []))
     return source.mapInArrow(predict, schema)
 
 

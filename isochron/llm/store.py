@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import re
 import tempfile
 import uuid
@@ -23,28 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/isochron-{uuid.uuid4().hex}"
 
 
-#: Rows in the batches that workers get, and fewer where the session says so: texts are long, and a batch is held whole.
-BATCH = 2000
+#: Bytes and rows in the batches that workers get, and fewer where the session says so: the JVM and the worker each
+#: hold a whole batch, and texts are long.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """What runs inside gets batches of BATCH rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. What an operator returns runs later, so the bounds stay."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = re.fullmatch(r"([1-9]\d*)b?", spark.conf.get(name).strip().lower())
+        if not now or int(now[1]) > most:
+            spark.conf.set(name, str(most))
 
 
 def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    with small_batches(spark):
-        (df.write.option("compression", compression) if compression else df.write).parquet(folder)
+    small_batches(spark)
+    (df.write.option("compression", compression) if compression else df.write).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
