@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isochron.llm import decontaminate, jaccard_join, language_id, packing, suffix_dedup
-from isochron.llm.store import written
+from isochron.llm.store import small_batches, written
 
 
 def _free(docs: DataFrame, *names: str) -> list[str]:
@@ -35,11 +35,10 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language id rejects go: no letters (so null and empty texts too), or too narrow a margin. `lang`
     stays as it was given. Each row is judged by its own text, so repeated rows fare alike; an empty table gives none."""
+    small_batches(spark)
     own, names = _plain(docs)
-    rest = [c for c in names if c != "text"]
     dictionaries = language_id.learn(docs.filter(~language_id.held_out()))
-    out = language_id.identify(own.withColumn("column_text", F.col("text")), dictionaries, [*rest, "column_text"])
-    return out.filter(~F.col("rejected")).withColumn("text", F.col("column_text")).select(*names).toDF(*docs.columns)
+    return language_id.identify(own, dictionaries, names).filter(~F.col("rejected")).select(*names).toDF(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
