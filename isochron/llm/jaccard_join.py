@@ -45,6 +45,9 @@ from isochron.llm.words import LOWER, SPACE, ragged, slices, split_words, text_b
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes of text whose sets are made at once.
+TEXT_BYTES = 1 << 19
+
 #: Signatures that a task sorts at once, rows in a batch that it returns, and bytes of sets that it compares at once.
 FLUSH, ROWS, PAIR_BYTES = 300_000, 50_000, 4 << 20
 
@@ -179,7 +182,7 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n, node and the set's signatures of each document."""
 
     def describe(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXT_BYTES):
             hashes, first = shingle_sets(batch.column("text"), words)
             sigs, of = signatures(hashes, first, num, den)
             order = np.argsort(of, kind="stable")
@@ -279,7 +282,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) ->
                 yield batch.filter(pa.array((shared.value[at] == doc) & known))
 
     def make(batches):
-        for batch in slices(pick(batches)):
+        for batch in slices(pick(batches), most=TEXT_BYTES):
             hashes, first = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), pa.array(np.diff(first)), _blobs(hashes, first)], ["node", "n", "set"])
 

@@ -45,6 +45,9 @@ K = 16
 #: Anchors, or bytes of pieces, that a task deals at once.
 FLUSH_ANCHORS, FLUSH_BYTES = 1_000_000, 12 << 20
 
+#: Bytes of text that are hashed at once.
+TEXT_BYTES = 1 << 20
+
 #: Marks a column outside the document; no UTF-8 text has this byte.
 OUTSIDE = 0xFF
 
@@ -161,7 +164,7 @@ def candidates(docs: DataFrame, span: int) -> DataFrame:
 
     def deal(batches):
         held, n = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXT_BYTES):
             data, places = text_bytes(batch.column("text"))
             at, h = anchors(data, places, span)
             row = np.searchsorted(places, at, "right") - 1
@@ -472,7 +475,7 @@ def repeated_words(docs: DataFrame, words: int, under: int) -> DataFrame:
 
     def deal(batches):
         held, n = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=TEXT_BYTES):
             data, places = text_bytes(batch.column("text"))
             a, b, row = passages(data, places, words, under)
             if not len(a):
