@@ -45,6 +45,9 @@ from isochron.llm.words import LOWER, SPACE, ragged, slices, split_words, text_b
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes of a signature. Where two that differ get the same ones, sets are compared that needn't be, no more.
+WIDTH = 6
+
 #: Bytes of text whose sets are made at once.
 TEXT_BYTES = 1 << 19
 
@@ -153,7 +156,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray, num: int, den: int) -> tup
             count = np.bincount(group, count)[group].astype(np.int64) - count
             sums = np.add.reduceat(own, np.arange(0, len(own), N2))[group] - own
             owner = np.repeat(np.arange(len(rows)), cells)
-            sums = _mix(_mix(sums + number * _P) + salt[owner])
+            sums = _mix(_mix(sums + number * _P) + salt[owner]) >> np.uint64(64 - 8 * WIDTH)
         spoilt = 2 * np.minimum(most[rows], n1) + np.maximum(0, most[rows] - n1)  # of a partition's three, one difference spoils two
         order = np.lexsort((sums, -count, owner))
         rank = np.arange(len(order)) - base[owner[order]]
@@ -178,6 +181,20 @@ def _read(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(body, kind, n, int(offsets[0])) if n else np.zeros(0, kind)), (offsets - offsets[0]) // 8
 
 
+def _narrow(sigs: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Signatures as blobs of WIDTH bytes each."""
+    body = np.ascontiguousarray(sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * WIDTH).astype(np.int32)), pa.py_buffer(body)])
+
+
+def _widened(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a column of such blobs, and where each row's begin."""
+    data, places = text_bytes(column)
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = data.reshape(-1, WIDTH)
+    return out.view("<u8").reshape(-1), places // WIDTH
+
+
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n, node and the set's signatures of each document."""
 
@@ -187,7 +204,7 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             sigs, of = signatures(hashes, first, num, den)
             order = np.argsort(of, kind="stable")
             starts = np.searchsorted(of[order], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes(hashes, first)), _blobs(sigs[order], starts)], ["doc_id", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes(hashes, first)), _narrow(sigs[order], starts)], ["doc_id", "n", "node", "sigs"])
 
     return docs.mapInArrow(describe, "doc_id long, n long, node long, sigs binary")
 
@@ -201,7 +218,7 @@ def shared_signatures(table: DataFrame) -> DataFrame:
     def deal(batches):
         held, n = [], 0
         for batch in batches:
-            sigs, first = _read(batch.column("sigs"), "<u8")
+            sigs, first = _widened(batch.column("sigs"))
             held.append((sigs, np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(first))))
             n += len(sigs)
             if n >= FLUSH:
@@ -213,8 +230,8 @@ def shared_signatures(table: DataFrame) -> DataFrame:
     def gather(batches):
         sigs, own = [], []
         for batch in batches:
-            x, first = _read(batch.column("sigs"), "<u8")
-            y, _ = _read(batch.column("nodes"), "<i8")
+            x, first = _widened(batch.column("sigs"))
+            y = np.concatenate([_named(*r) for r in zip(batch.column("names").to_pylist(), batch.column("which").to_pylist(), np.diff(first).tolist())] or [np.zeros(0, np.int64)])
             local = np.repeat(batch.column("local").to_numpy(zero_copy_only=False), np.diff(first))
             if local.any():
                 yield from _members(x[local], y[local])
@@ -223,11 +240,11 @@ def shared_signatures(table: DataFrame) -> DataFrame:
         if sigs:
             sigs, own = np.concatenate(sigs), np.concatenate(own)
             for part in range(8):  # an eighth is sorted at a time
-                here = sigs >> np.uint64(61) == part
+                here = sigs >> np.uint64(8 * WIDTH - 3) == part
                 x, y, _, many = _grouped(sigs[here], own[here])
                 yield from _members(x[many], y[many])
 
-    dealt = table.filter("doc_id IS NOT NULL AND octet_length(sigs) > 0").select("node", "sigs").mapInArrow(deal, "bucket int, local boolean, sigs binary, nodes binary")
+    dealt = table.filter("doc_id IS NOT NULL AND octet_length(sigs) > 0").select("node", "sigs").mapInArrow(deal, "bucket int, local boolean, sigs binary, names binary, which binary")
     return dealt.repartition("bucket").mapInArrow(gather, "sig long, node long").distinct()
 
 
@@ -259,7 +276,18 @@ def _dealt(held: list, buckets: int):
         used, first = np.unique(bucket[order], return_index=True)
         if len(used):
             first = np.append(first, len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), local)), _blobs(x[order], first), _blobs(y[order], first)], ["bucket", "local", "sigs", "nodes"])
+            names, which = zip(*(_names(part) for part in np.split(y[order], first[1:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), local)), _narrow(x[order], first), pa.array(names, pa.binary()), pa.array(which, pa.binary())], ["bucket", "local", "sigs", "names", "which"])
+
+
+def _names(nodes: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct nodes, and the number of each one's node among them, in two bytes where that's enough."""
+    names, which = np.unique(nodes, return_inverse=True)
+    return names.astype("<i8").tobytes(), which.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()
+
+
+def _named(names: bytes, which: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(names, "<i8")[np.frombuffer(which, "<u2" if len(which) == 2 * n else "<u4")]
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) -> DataFrame:
