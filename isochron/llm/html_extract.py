@@ -28,7 +28,15 @@ from isochron.llm.words import slices
 #: Lines of a window, and the least sum of characters that a surge takes in a page without main elements.
 WINDOW, SURGE = 5, 40
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|(?:annotation-xml|annotation)(?![^>]*/>))\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: What stands between a tag's name and its end. Quotes count after "=" alone; a tag without an end ends at the next
+#: "<", and an open quote with the page. Nothing is given back, so each character is read once.
+_INNER = r"""(?:[^<>"'=]|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|["'=])*+"""
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|(?:annotation-xml|annotation)(?![^<>]*/>))\b" + _INNER + r"(?:>|(?=<)|\Z).*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*+)(" + _INNER + r")(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
 _SPACE = re.compile(r"\s+")
 
 #: Elements that stay inside a line.
@@ -45,6 +53,10 @@ _MARKED = re.compile(
 )
 #: Of a main element, which may name its topics in its class: a whole word there that says it is a reader's comment.
 _COMMENT = re.compile(r"(?:(?:div|li|user|reader)[-_])?(?:comments?|repl(?:y|ies))(?:[-_](?:body|content|item|list|text|\d+))?", re.I)
+#: Class words that tell what a page has, hasn't or allows, not what a part is; and those that a heading inside a main
+#: element may have.
+_STATE = re.compile(r"(?:no|not|has|have|with|without|is)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|on|off)", re.I)
+_HEADING = re.compile(r"(?:[a-z]+[-_])?header", re.I)
 _LABEL = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -53,16 +65,34 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     tokens = list(_TOKEN.finditer(page))
     own = [_comment(m.group(4)) for m in tokens if (m.group(3) or "").lower() in MAIN and not m.group(2)]
     several = len(own) > 1
-    out, mains = [], not all(own)
+    out, mains, wide = [], not all(own), _wide_forms(tokens, len(page))
     for mains, comments in dict.fromkeys([(mains, several), (False, several), (False, False)]):
-        out = _weighted(page, tokens, mains, comments)
+        out = _weighted(page, tokens, mains, comments, wide)
         if any(weight for _, weight in out):
             break
     return out, mains
 
 
-def _weighted(page: str, tokens: list[re.Match], mains: bool, comments: bool) -> list[tuple[str, int]]:
-    """The lines where only main elements weigh something (`mains`), and those that are comments nothing (`comments`)."""
+def _wide_forms(tokens: list[re.Match], end: int) -> set[int]:
+    """Places of forms that hold over half of the page's text: those wrap the page and aren't for filling in."""
+    total, at, open_, held = 0, 0, -1, {}
+    for m in tokens:
+        own = m.start() - at
+        total += own
+        at = m.end()
+        if open_ >= 0:
+            held[open_] += own
+        if (m.group(3) or "").lower() == "form":
+            open_ = -1 if m.group(2) else m.start()
+            if open_ >= 0:
+                held[open_] = 0
+    total += end - at
+    return {place for place, own in held.items() if 2 * own > total}
+
+
+def _weighted(page: str, tokens: list[re.Match], mains: bool, comments: bool, wide: set[int]) -> list[tuple[str, int]]:
+    """The lines where only main elements weigh something (`mains`), those that are comments nothing (`comments`), and
+    the forms at the places in `wide` are like any block."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     linked = inside = 0  # characters in links; depth of open main elements
@@ -108,11 +138,11 @@ def _weighted(page: str, tokens: list[re.Match], mains: bool, comments: bool) ->
                         break
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "option"):
-            marked = _marked(m.group(4)) if name != "body" and name != "html" else False
+            marked = _marked(m.group(4), bool(inside)) if name != "body" and name != "html" else False
             if not marked:
                 continue
         main = name in MAIN
-        away = comments and _comment(m.group(4)) if main else name in APART and not (name == "header" and inside) or _marked(m.group(4))
+        away = comments and _comment(m.group(4)) if main else name in APART and not (name == "header" and inside or m.start() in wide) or _marked(m.group(4), bool(inside))
         stack.append((name, away, mains and main and not away))
         if m.group(4).endswith("/") and name not in MAIN | APART:
             stack.pop()
@@ -129,8 +159,12 @@ def _comment(attributes: str) -> bool:
     return bool(attributes) and any(_COMMENT.fullmatch(x) for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
 
 
-def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(_MARKED.search(a or b or c) for a, b, c in _LABEL.findall(attributes))
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role marks a part that isn't main text; `inside` a main element a heading may."""
+    if not attributes:
+        return False
+    words = (x for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
+    return any(_MARKED.search(x) and not _STATE.fullmatch(x) and not (inside and _HEADING.fullmatch(x)) for x in words)
 
 
 def main_text(page: str | None) -> str:

@@ -1,9 +1,10 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-Each language has a raw-content zstandard dictionary of up to `dictionary_bytes` bytes, filled from a bounded sample
-of its labelled documents (about `sample_docs` of them, picked by hash of doc_id, `share_bytes` bytes of each). The
-whole text, lower-cased and without ASCII digits and marks, is compressed in blocks of `block_bytes` with each dictionary, so a long text can't drown
-the dictionary in its own history. The score is 1 - smallest / second smallest size; where it's under `margin`, the
+Each language has a raw-content zstandard dictionary, filled from a bounded sample of its labelled documents (about
+`sample_docs` of them, picked by hash of doc_id; of each PARTS stretches from its beginning to its end, `share_bytes`
+in all, or the whole text if it's shorter). What the sample holds beyond `dictionary_bytes` is left out, which the
+defaults seldom reach. The whole text to judge, lower-cased and without ASCII digits and marks, is compressed in blocks
+of `block_bytes` with each dictionary, so a long text can't drown the dictionary in its own history. The score is 1 - smallest / second smallest size; where it's under `margin`, the
 text is rejected.
 
 Defined results: null texts and texts without letters are `und` with score 0 and rejected; equal sizes go to the
@@ -26,6 +27,9 @@ UNKNOWN = "und"
 #: Lower levels find too few of the short matches that tell languages apart.
 LEVEL = 6
 
+#: Stretches of a document that it's learned from, evenly spaced.
+PARTS = 3
+
 _ASCII_MARKS = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalpha())
 
 
@@ -38,7 +42,7 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = 300, share_bytes: int = 1500, dictionary_bytes: int = 200_000) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_docs: int = 130, share_bytes: int = 1500, dictionary_bytes: int = 200_000) -> dict[str, bytes]:
     """Each language's dictionary, from rows with doc_id, lang and text. The bounds hold for each language."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -47,7 +51,10 @@ def learn(docs: DataFrame, sample_docs: int = 300, share_bytes: int = 1500, dict
     million = 1_000_000
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(-(-sample_docs * million // n)))])
     order = F.xxhash64("doc_id")
-    picked = docs.filter(F.pmod(order, F.lit(million)) < share[F.col("lang")]).select("lang", order.alias("at"), F.encode("text", "UTF-8").substr(1, share_bytes).alias("text"))
+    picked = docs.filter(F.pmod(order, F.lit(million)) < share[F.col("lang")]).select("lang", order.alias("at"), F.encode("text", "UTF-8").alias("text"))
+    size, each = F.octet_length("text"), share_bytes // PARTS
+    stretches = F.concat(*[F.substring("text", F.floor((size - each) * i / (PARTS - 1)).cast("int") + 1, F.lit(each)) for i in range(PARTS)])
+    picked = picked.select("lang", "at", F.when(size > share_bytes, stretches).otherwise(F.col("text")).alias("text"))
     held: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.at, bytes(r.text))):
         held.setdefault(r.lang, []).append(letters(bytes(r.text).decode("utf-8", "ignore")))
