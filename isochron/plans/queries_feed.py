@@ -151,11 +151,16 @@ def b11_power_play_events(feed: Feed) -> DataFrame:
 
 
 
-@query(after(STINTS, "SELECT p1 AS player_id_1, p2 AS player_id_2, CAST(sum(duration) AS BIGINT) AS toi_seconds, round(sum(net), 6) AS net_xg, count(*) AS stints FROM (SELECT duration, net, p1, unnest(l) AS p2 FROM (SELECT duration, home_xg - away_xg AS net, unnest(home_skaters) AS p1, home_skaters AS l FROM stints)) WHERE p1 < p2 GROUP BY 1, 2"))
+@query(after(STINTS, """SELECT p1 AS player_id_1, p2 AS player_id_2, CAST(sum(duration) AS BIGINT) AS toi_seconds, round(sum(net), 6) AS net_xg, count(*) AS stints
+  FROM (SELECT duration, net, p1, unnest(l) AS p2 FROM (SELECT duration, home_xg - away_xg AS net, unnest(home_skaters) AS p1, home_skaters AS l FROM stints
+    UNION ALL SELECT duration, away_xg - home_xg, unnest(away_skaters), away_skaters FROM stints)) WHERE p1 < p2 GROUP BY 1, 2"""))
 def c13_teammate_pairs(feed: Feed) -> DataFrame:
-    s = P.stints(P.filter_strength(P.lineups(feed), "5v5")).select("duration", "net_xg", "home_skaters", F.explode("home_skaters").alias("player_id_1"))
-    pairs = s.select("duration", "net_xg", "player_id_1", F.explode("home_skaters").alias("player_id_2")).filter("player_id_1 < player_id_2")
-    return pairs.groupBy("player_id_1", "player_id_2").agg(F.sum("duration").alias("toi_seconds"), F.round(F.sum("net_xg"), 6).alias("net_xg"), F.count("*").alias("stints"))
+    """Pairs of either side's skaters, with time and net xG as their own side sees it."""
+    stints = P.stints(P.filter_strength(P.lineups(feed), "5v5"))
+    sides = F.array(F.struct(F.col("home_skaters").alias("members"), F.col("net_xg").alias("net")), F.struct(F.col("away_skaters").alias("members"), (-F.col("net_xg")).alias("net")))
+    s = stints.select("duration", F.explode(sides).alias("side")).select("duration", "side.net", "side.members", F.explode("side.members").alias("player_id_1"))
+    pairs = s.select("duration", "net", "player_id_1", F.explode("members").alias("player_id_2")).filter("player_id_1 < player_id_2")
+    return pairs.groupBy("player_id_1", "player_id_2").agg(F.sum("duration").alias("toi_seconds"), F.round(F.sum("net"), 6).alias("net_xg"), F.count("*").alias("stints"))
 
 
 @query(after(STINTS, """SELECT player_id, partner_id, with_seconds, without_seconds, round(with_net * 3600 / with_seconds, 4) AS with_60, round(without_net * 3600 / without_seconds, 4) AS without_60 FROM (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,16 @@ def sessions(stream: DataFrame, at: str, keys: Sequence[str], gap: str, late: st
 
 
 def to_completion(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drives a bounded stream through an in-memory sink, for tests and small feeds."""
-    df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Drives a bounded stream to its end into a table below spark.checkpoint.dir, and returns the table. In complete
+    mode each batch replaces the one before; else each has a folder of its own, so a repeated batch adds nothing."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isochron-")  # unset in local tests alone
+    folder, last = f"{root.rstrip('/')}/{name}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+        last.append(number)
+
+    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows/*") if last else spark.createDataFrame([], df.schema)
