@@ -78,5 +78,36 @@ fits AS (SELECT page_id, max_by({'rule': rule, 'verdict': verdict}, length(rule)
 SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f USING (page_id)
 """ % ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every window of every item against every window of every document, by equality.
+OP3_SQL = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+placed AS (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS place FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[place:place + size - 1], ' ') AS win FROM placed),
+sizes AS (SELECT DISTINCT size FROM windows),
+spread AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS place FROM docs JOIN sizes ON len(w) >= size),
+hits AS (SELECT d.doc_id, d.place, d.size, x.item_id FROM (SELECT doc_id, size, place, array_to_string(w[place:place + size - 1], ' ') AS win FROM spread) d JOIN windows x ON d.size = x.size AND d.win = x.win),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + size)) AS place FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+#: Every pair of documents with a shingle in common, and what links reach by recursion.
+OP9_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS place FROM docs WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[place:place + 3], ' ') AS shingle FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op9_jaccard_join": OP9_SQL}
