@@ -109,5 +109,21 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id FROM docs d LEFT
 """
 
 
+#: Every string of 50 bytes with the least document that has it, and the bytes that such strings cover.
+OP4_SQL = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+sized AS (SELECT *, octet_length(body) AS n FROM raw),
+bytes AS (SELECT doc_id, n, place, hex(body[place:place]) AS own, CASE WHEN place + 49 <= n THEN body[place:place + 49] END AS string
+  FROM (SELECT *, unnest(range(1, n + 1)) AS place FROM sized)),
+least_doc AS (SELECT string, min(doc_id) AS first_doc FROM bytes WHERE string IS NOT NULL GROUP BY string HAVING min(doc_id) < max(doc_id)),
+marked AS (SELECT doc_id, place, own, coalesce(first_doc < doc_id, false) AS repeated FROM bytes LEFT JOIN least_doc USING (string)),
+covered AS (SELECT doc_id, place, own, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY place ROWS 49 PRECEDING) AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY place), false) AS begins FROM covered),
+found AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(own, '' ORDER BY place) FILTER (NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM sized LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL}
