@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm.components import components
-from isochron.llm.store import written
+from isochron.llm.store import scratch, written
 from isochron.llm.words import LOWER, SPACE, ragged, slices, split_words, text_bytes
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -314,7 +314,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, table: DataFrame, words: int) ->
             hashes, first = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([pa.array(nodes(hashes, first)), pa.array(np.diff(first)), _blobs(hashes, first)], ["node", "n", "set"])
 
-    return written(docs.mapInArrow(make, "node long, n long, set binary").dropDuplicates(["node"]))
+    return docs.mapInArrow(make, "node long, n long, set binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -395,13 +395,14 @@ def across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(described(docs, words, num, den))
-    members = written(shared_signatures(table))
+    with scratch(described(docs, words, num, den)) as signed:  # signatures take more room than all else: they go first
+        members = written(shared_signatures(signed))
+        table = written(signed.select("doc_id", "n", "node"))
     stars = written(central(members).select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())
-    sets = sets_of(members.select("node"), docs, table, words)
-    links = verified(stars, sets, num, den)
-    known = written(components(links))
-    more = verified(across(crossing(members, known), sets, num, den).join(stars, ["a", "b"], "left_anti"), sets, num, den)
+    with scratch(sets_of(members.select("node"), docs, table, words)) as sets:
+        links = verified(stars, sets, num, den)
+        known = written(components(links))
+        more = verified(across(crossing(members, known), sets, num, den).join(stars, ["a", "b"], "left_anti"), sets, num, den)
     if not more.isEmpty():
         known = written(components(links.unionByName(more)))
     labelled = table.select("doc_id", "n", "node").join(known, "node", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +37,26 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def written(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
+def _stored(df: DataFrame, compression: str | None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     folder = shared_folder(spark)
     small_batches(spark)
     (df.write.option("compression", compression) if compression else df.write).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: computed once, and safe when an executor is lost."""
+    return _stored(df, compression)[0]
+
+
+@contextmanager
+def scratch(df: DataFrame, compression: str | None = None) -> Iterator[DataFrame]:
+    """`written` for the length of a block; then its files go. What is made of it must be written within the block."""
+    table, folder = _stored(df, compression)
+    yield table
+    fs, path = open_fs(folder)
+    fs.delete_dir(path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
