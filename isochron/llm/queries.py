@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_output, toxicity, url_filter
+from isochron.llm import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_output, toxicity, url_filter
 
 #: Rules of the URL filter: host and the beginning of the path, and what they say.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -63,8 +63,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction, op11_conversation_repair)
     return {f.__name__: f for f in own}
 
 
@@ -125,5 +130,53 @@ FROM sized LEFT JOIN found USING (doc_id)
 """
 
 
+def _crc32_sql(key: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes: each byte is mixed in, then shifted out bit by bit."""
+    bits = f"flatten(list_transform(range(1, octet_length(encode({key})) + 1), lambda i: [('0x' || hex(encode({key})[i:i]))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda c, e: {step}), 4294967295)"
+
+
+def _op11_sql() -> str:
+    """All states' cheapest (cost, audit, text) forward, row by row; of equal costs the least audit."""
+    to = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {s}.o || chr(10) || {line}}}"
+    gone = lambda s: f"{{'c': {s}.c + 4, 'a': {s}.a || 'D', 'o': {s}.o}}"
+    may = lambda test, s, cost, letter, line: f"CASE WHEN NOT must AND {test} THEN {to(s, cost, letter, line)} END"
+    kept, rerole = "role || ':' || text", lambda role: f"'{role}:' || text"
+    after = {
+        "n0": gone("b0"),
+        "n1": f"least({gone('b1')}, {may("initial = 's'", 'b0', 'cut', 'K', kept)})",
+        "n2": "least(" + ", ".join([gone("b2"), *[may("initial = 'u'", s, "cut", "K", kept) for s in ("b0", "b1", "b3")], *[may("true", s, "3 + cut", "R", rerole("user")) for s in ("b0", "b1", "b3")]]) + ")",
+        "n3": f"least({gone('b3')}, {may("initial = 'a'", 'b2', 'cut', 'K', kept)}, {may('true', 'b2', '3 + cut', 'R', rerole('assistant'))})",
+    }
+    user = "least(n2, " + ", ".join(to(s, 3, "I", "'user:'") for s in ("n0", "n1", "n3")) + ")"
+    nothing = lambda cost: f"{{'c': {cost}::BIGINT, 'a': '', 'o': ''}}"
+    closed = f"SELECT conv_id, i, n0 AS b0, n1 AS b1, b2, least(n3, {to('b2', 3, 'I', "'assistant:'")}) AS b3 FROM (SELECT *, {user} AS b2 FROM "
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return f"""
+WITH RECURSIVE named AS (SELECT *, {key} AS k FROM conversations),
+kinds AS (SELECT k, {_crc32_sql("k")} % 20 AS kind FROM (SELECT DISTINCT k FROM named)),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM named JOIN kinds USING (k) WHERE kind <> 0),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM damaged),
+found AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+rows AS (SELECT *, blank OR again AS must, CASE WHEN open THEN 3 ELSE 0 END AS cut,
+  i > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS odd FROM found),
+totals AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (open AND NOT again AND NOT blank) AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n FROM rows GROUP BY conv_id),
+best AS ({closed} (SELECT DISTINCT conv_id, 0::BIGINT AS i, {nothing(0)} AS n0, {nothing(10**9)} AS n1, {nothing(10**9)} AS n2, {nothing(10**9)} AS n3 FROM conversations) t) u
+  UNION ALL {closed} (SELECT conv_id, i, {", ".join(f"{x} AS {name}" for name, x in after.items())}
+  FROM (SELECT b.conv_id, r.i, b0, b1, b2, b3, must, cut, initial, role, text FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1) t) v) w)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  least(b0, b3).c AS cost, least(b0, b3).a AS audit, sha256(substr(least(b0, b3).o, 2)) AS repaired_sha256
+FROM best b LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = coalesce(t.n, 0)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_conversation_repair": OP11_SQL}
