@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, suffix_dedup, token_output, toxicity, url_filter
+from isochron.llm import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, spelling_variants, suffix_dedup, token_output, toxicity, url_filter
 
 #: Rules of the URL filter: host and the beginning of the path, and what they say.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -68,8 +68,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damage(rows), rows)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction, op11_conversation_repair)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction, op11_conversation_repair, op12_spelling_variants)
     return {f.__name__: f for f in own}
 
 
@@ -178,5 +182,23 @@ FROM best b LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM b.conv_id WHERE
 OP11_SQL = _op11_sql()
 
 
+#: Every word without one code point, and with a mark in its place, joined by equality.
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+own AS (SELECT name, run, count(*) AS n FROM runs GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_crc32_sql("name || ':' || run")} AS h FROM own),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+placed AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS holed FROM placed),
+pairs AS (SELECT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT c.word, d.word FROM cuts c JOIN cuts d ON c.holed = d.holed AND c.word <> d.word),
+near AS (SELECT a AS word, count(*) AS n_near, min({{'less': -w.n, 'near': b}}) AS best FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * w.n THEN best.near END AS form, CASE WHEN -best.less >= 2 * w.n THEN -best.less END AS form_n FROM words w LEFT JOIN near USING (word)),
+chain AS (SELECT word, word AS now FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.now WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.now AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms g ON g.word = c.now AND g.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling_variants": OP12_SQL}
