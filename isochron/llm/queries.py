@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, packing, quality_rules, spelling_variants, suffix_dedup, token_output, toxicity, url_filter
+from isochron.llm import conversation_repair, decontaminate, html_extract, jaccard_join, language_id, language_model, packing, quality_rules, spelling_variants, suffix_dedup, token_output, toxicity, url_filter
 
 #: Rules of the URL filter: host and the beginning of the path, and what they say.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -72,8 +72,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model(_table(spark, sf_dir, "documents"), fold=2, folds=7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction, op11_conversation_repair, op12_spelling_variants)
+    own = (op1_url_filter, op2_quality_rules, op3_decontamination, op4_suffix_dedup, op5_token_output, op6_best_fit_packing, op7_toxicity, op8_language_id, op9_jaccard_join, op10_html_extraction, op11_conversation_repair, op12_spelling_variants, op13_language_model)
     return {f.__name__: f for f in own}
 
 

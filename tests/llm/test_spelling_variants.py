@@ -72,6 +72,7 @@ def test_random_words(spark, seed):
         text = " ".join(rng.choice(words) for _ in range(60)) + "œ" + ", ".join(words[: rng.randrange(len(words))])
         table.append((None if i == 7 else i, text))
     table += [(100 + i, "hello hello hello " + "hallo " * (i % 2) + "halli " * (i % 5 == 0)) for i in range(15)]
+    table.append((200, "hella hella hella hellos hellos hellos helle helle helle"))
     table += table[5:9] + [(99, "1" * 1000 + "\U0001f600" + "q" * 200_000)] * 3
     got, want = found(spark, table), expected(table)
     assert got == want
