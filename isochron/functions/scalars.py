@@ -8,7 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Event labels as the feed sends them, and their names here.
-EVENT_LABELS = {"shot-on-goal": "SHOT", "missed-shot": "MISSED_SHOT", "blocked-shot": "BLOCKED_SHOT", "goal": "GOAL", "faceoff": "FACEOFF", "hit": "HIT", "giveaway": "GIVEAWAY", "takeaway": "TAKEAWAY", "penalty": "PENALTY", "stoppage": "STOPPAGE", "period-start": "PERIOD_START", "period-end": "PERIOD_END", "game-end": "GAME_END"}
+EVENT_LABELS = {
+    "faceoff": "FACEOFF",
+    "hit": "HIT",
+    "giveaway": "GIVEAWAY",
+    "goal": "GOAL",
+    "shot-on-goal": "SHOT",
+    "missed-shot": "MISSED_SHOT",
+    "blocked-shot": "BLOCKED_SHOT",
+    "penalty": "PENALTY",
+    "stoppage": "STOPPAGE",
+    "period-start": "PERIOD_START",
+    "period-end": "PERIOD_END",
+    "game-end": "GAME_END",
+    "takeaway": "TAKEAWAY",
+    "delayed-penalty": "DELAYED_PENALTY",
+    "failed-shot-attempt": "FAILED_SHOT",
+}
 
 
 def clock_to_seconds(clock: Column) -> Column:
@@ -61,7 +77,7 @@ def rate_per(value: Column, seconds: Column, per: int = 3600) -> Column:
 
 
 #: Position codes of the two groups.
-FORWARDS, DEFENCE = ("C", "L", "R", "LW", "RW", "F", "W"), ("D", "LD", "RD")
+FORWARDS, DEFENCE = ("C", "LW", "RW", "F", "L", "R"), ("D", "LD", "RD")
 
 
 def position_group(code: Column) -> Column:

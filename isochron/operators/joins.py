@@ -46,21 +46,31 @@ def tick_bucketize(intervals: DataFrame, start: str, end: str, step: int) -> Dat
     return intervals.withColumn("tick", F.explode(ticks))
 
 
-def on_ice(events: DataFrame, shifts: DataFrame, limit: int = 6, tolerances: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """Who is on the ice for each team at each event: (game_id, event_id, team_id, player_id).
+#: Seconds of a bucket of the clock: events meet the intervals of their bucket, not those of a whole period.
+BUCKET = 60
+
+
+def _near(events: DataFrame, shifts: DataFrame, tolerance: int) -> DataFrame:
+    """Each event with the shifts of its game and period that reach within `tolerance` of it. Shifts are dealt to all
+    buckets of the clock that they reach; an event is in one, so no pair comes twice."""
+    reach = F.sequence(F.floor((F.col("start_seconds") - tolerance) / BUCKET), F.floor((F.col("end_seconds") + tolerance) / BUCKET))
+    s = shifts.filter("end_seconds >= start_seconds").select("game_id", "period", F.explode(reach).alias("_bucket"), "team_id", "player_id", "start_seconds", "end_seconds")
+    e = events.select("game_id", "event_id", "period", "period_seconds", "player_1_id", F.floor(F.col("period_seconds") / BUCKET).alias("_bucket"))
+    t = F.col("period_seconds")
+    return e.join(s, ["game_id", "period", "_bucket"]).filter((F.col("start_seconds") <= t + tolerance) & (F.col("end_seconds") >= t - tolerance))
+
 
-    One range join at the widest tolerance; a member of tolerance k has start < t + k (<= at t = 0, and for a player
-    whom the event requires) and end >= t - k. The first tolerance whose set has 1 to `limit` members counts; where
-    none has, the `limit` members of the widest are taken: required ones first, then by margin to the boundary."""
+def on_ice_candidates(events: DataFrame, shifts: DataFrame, limit: int = 6, tolerances: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """(game_id, event_id, team_id, player_id, member) of players near each event; see `on_ice`. Rows are dealt by game
+    once, so what follows by game and event needs no shuffle."""
     widest = max(tolerances)
-    s = shifts.select(F.col("game_id").alias("_g"), F.col("period").alias("_p"), "team_id", "player_id", "start_seconds", "end_seconds")
     t = F.col("period_seconds")
-    near = (F.col("game_id") == F.col("_g")) & (F.col("period") == F.col("_p")) & (F.col("start_seconds") <= t + widest) & (F.col("end_seconds") >= t - widest)
     required = F.coalesce(F.col("player_id") == F.col("player_1_id"), F.lit(False))
-    rows = events.select("game_id", "event_id", "period", "period_seconds", "player_1_id").join(s, near)
+    rows = _near(events, shifts, widest).repartition("game_id")
     inside = [((F.col("start_seconds") < t + k) | ((F.col("start_seconds") <= t + k) & ((t == 0) | required))) & (F.col("end_seconds") >= t - k) for k in tolerances]
     margin = F.least(t - F.col("start_seconds"), F.col("end_seconds") - t)
-    players = rows.groupBy("game_id", "event_id", "team_id", "player_id").agg(*[F.max(x).alias(f"in_{k}") for k, x in zip(tolerances, inside)], F.max(required).alias("required"), F.max(margin).alias("margin"))
+    flags = [F.max(x).alias(f"in_{k}") for k, x in zip(tolerances, inside)]
+    players = rows.groupBy("game_id", "event_id", "team_id", "player_id").agg(*flags, F.max(required).alias("required"), F.max(margin).alias("margin"))
     w = Window.partitionBy("game_id", "event_id", "team_id")
     counts = players.withColumns({f"n_{k}": F.sum(F.col(f"in_{k}").cast("int")).over(w) for k in tolerances})
     chosen = F.coalesce(*[F.when(F.col(f"n_{k}").between(1, limit), F.lit(k)) for k in tolerances])
@@ -69,14 +79,22 @@ def on_ice(events: DataFrame, shifts: DataFrame, limit: int = 6, tolerances: Seq
     for k in tolerances:
         member |= (F.col("chosen") == k) & F.col(f"in_{k}")
     out = counts.withColumn("chosen", chosen).withColumn("best", best)
-    return out.filter(F.coalesce(member, F.lit(False)) | (F.col("chosen").isNull() & F.col(f"in_{widest}") & (F.col("best") <= limit))).select("game_id", "event_id", "team_id", "player_id")
+    member = F.coalesce(member, F.lit(False)) | (F.col("chosen").isNull() & F.col(f"in_{widest}") & (F.col("best") <= limit))
+    return out.select("game_id", "event_id", "team_id", "player_id", member.alias("member"))
+
+
+def on_ice(events: DataFrame, shifts: DataFrame, limit: int = 6, tolerances: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Who is on the ice for each team at each event: (game_id, event_id, team_id, player_id).
+
+    A member of tolerance k has start < t + k (<= at t = 0, and for a player whom the event requires) and end >= t - k.
+    The first tolerance whose set has 1 to `limit` members counts; where none has, the `limit` members of the widest are
+    taken: required ones first, then by margin to the boundary."""
+    return on_ice_candidates(events, shifts, limit, tolerances).filter("member").drop("member")
 
 
 def within_tolerance(events: DataFrame, shifts: DataFrame, tolerance: int) -> DataFrame:
     """Distinct players with start <= t + tolerance and end >= t - tolerance."""
-    s = shifts.select(F.col("game_id").alias("_g"), F.col("period").alias("_p"), "team_id", "player_id", "start_seconds", "end_seconds")
-    on = (F.col("game_id") == F.col("_g")) & (F.col("period") == F.col("_p")) & (F.col("start_seconds") <= F.col("period_seconds") + tolerance) & (F.col("end_seconds") >= F.col("period_seconds") - tolerance)
-    return events.join(s, on).select("game_id", "event_id", "team_id", "player_id").distinct()
+    return _near(events, shifts, tolerance).select("game_id", "event_id", "team_id", "player_id").distinct()
 
 
 def lookahead_sum(rows: DataFrame, keys: Sequence[str], at: str, value: Column, seconds: int) -> Column:

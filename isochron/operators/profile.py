@@ -29,11 +29,13 @@ def roster_strength(times: DataFrame, ratings: DataFrame, group: Sequence[str],
 
 
 def team_rates(stints: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Each team's hours and net measures an hour: a stint counts for both its teams, with the sign of the side."""
-    side = lambda team, sign: F.struct(F.col(team).alias("team_id"), *[(sign * F.col(f"net_{m}")).alias(m) for m in measures])
+    """Each team's hours and net measures an hour: a stint counts for both its teams, with the sign of the side. Sums are
+    of whole millionths and rates are cut to them, so that the order of addition can't show."""
+    micro = lambda m, sign: (sign * F.round(F.col(f"net_{m}") * 1e6).cast("long")).alias(m)
+    side = lambda team, sign: F.struct(F.col(team).alias("team_id"), *[micro(m, sign) for m in measures])
     both = stints.withColumn("o", F.explode(F.array(side("home_team_id", 1), side("away_team_id", -1)))).select("season", "duration", "o.*")
-    hours = F.sum("duration") / 3600
-    return both.groupBy("season", "team_id").agg(hours.alias("hours"), *[(F.sum(m) / hours).alias(f"{m}_60") for m in measures])
+    seconds = F.sum("duration")
+    return both.groupBy("season", "team_id").agg((seconds / 3600).alias("hours"), *[(F.floor(F.sum(m).cast("double") * 3600.0 / seconds) / 1e6).alias(f"{m}_60") for m in measures])
 
 
 def timeline(history: DataFrame, forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:

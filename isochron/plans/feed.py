@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-GAMES = """
-SELECT game_id, CASE game_id % 3 WHEN 0 THEN '20212022' WHEN 1 THEN '20222023' ELSE '20232024' END AS season,
-       1 + game_id % 8 AS home_team_id, 1 + (game_id % 8 + 1 + game_id % 7) % 8 AS away_team_id
+#: What a game's number says of it.
+GAME_COLUMNS = {
+    "season": "CASE game_id % 3 WHEN 0 THEN '20212022' WHEN 1 THEN '20222023' ELSE '20232024' END",
+    "home_team_id": "1 + game_id % 8",
+    "away_team_id": "1 + (game_id % 8 + 1 + game_id % 7) % 8",
+}
+
+GAMES = f"""
+SELECT game_id, {", ".join(f"{x} AS {name}" for name, x in GAME_COLUMNS.items())}
 FROM (SELECT DISTINCT CAST(FLOOR(event_id / 360) AS BIGINT) AS game_id FROM events) g
 """
 
+#: A goal's assists come from the scorer's line; no join, as a game's teams follow from its number.
 EVENTS = """
-SELECT g.game_id, e.event_id, e.period, e.period_seconds, e.event_type,
-       CASE WHEN e.user_id % 4 < 2 THEN g.home_team_id ELSE g.away_team_id END AS event_team_id,
-       CAST(e.event_id * 7 % 100 AS DOUBLE) AS x_coord, CAST(e.event_id * 11 % 43 - 21 AS DOUBLE) AS y_coord,
-       CASE e.user_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'D' ELSE 'N' END AS zone_code,
-       (CASE WHEN e.user_id % 4 < 2 THEN g.home_team_id ELSE g.away_team_id END) * 100
-         + (CAST(FLOOR(e.period_seconds / 50) AS BIGINT) + g.game_id) % 4 * 3 AS player_1_id,
-       CASE WHEN e.event_type IN ('SHOT', 'MISSED_SHOT', 'GOAL') THEN ROUND(e.value / 500, 6) END AS xg
-FROM (SELECT event_id, user_id, value, CAST(FLOOR(event_id / 360) AS BIGINT) AS game_id,
-             CAST(FLOOR(event_id % 360 / 120) AS BIGINT) + 1 AS period, event_id % 120 * 10 AS period_seconds,
-             CASE event_type WHEN 'click' THEN 'SHOT' WHEN 'view' THEN 'MISSED_SHOT' WHEN 'purchase' THEN 'GOAL'
-               WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'FACEOFF' ELSE 'BLOCKED_SHOT' END
-               ELSE CASE user_id % 3 WHEN 0 THEN 'TAKEAWAY' WHEN 1 THEN 'GIVEAWAY' ELSE 'PENALTY' END END AS event_type
-      FROM events) e JOIN feed_games g ON e.game_id = g.game_id
+SELECT game_id, event_id, period, period_seconds, event_type, event_team_id, x_coord, y_coord, zone_code,
+       event_team_id * 100 + line * 3 AS player_1_id, xg,
+       CASE WHEN event_type = 'GOAL' AND event_id % 4 <> 0 THEN event_team_id * 100 + (line * 3 + 1 + 3 * (game_id % 4)) % 12 END AS player_2_id,
+       CASE WHEN event_type = 'GOAL' AND event_id % 4 = 2 THEN event_team_id * 100 + (line * 3 + 2 + 6 * (game_id % 4)) % 12 END AS player_3_id
+FROM (SELECT game_id, event_id, period, period_seconds, event_type,
+             CASE WHEN user_id % 4 < 2 THEN 1 + game_id % 8 ELSE 1 + (game_id % 8 + 1 + game_id % 7) % 8 END AS event_team_id,
+             CAST(event_id * 7 % 100 AS DOUBLE) AS x_coord, CAST(event_id * 11 % 43 - 21 AS DOUBLE) AS y_coord,
+             CASE user_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'D' ELSE 'N' END AS zone_code,
+             (CAST(FLOOR(period_seconds / 50) AS BIGINT) + game_id) % 4 AS line,
+             CASE WHEN event_type IN ('SHOT', 'MISSED_SHOT', 'GOAL') THEN ROUND(value / 500, 6) END AS xg
+      FROM (SELECT event_id, user_id, value, CAST(FLOOR(event_id / 360) AS BIGINT) AS game_id,
+                   CAST(FLOOR(event_id % 360 / 120) AS BIGINT) + 1 AS period, event_id % 120 * 10 AS period_seconds,
+                   CASE event_type WHEN 'click' THEN 'SHOT' WHEN 'view' THEN 'MISSED_SHOT' WHEN 'purchase' THEN 'GOAL'
+                     WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN 'FACEOFF' ELSE 'BLOCKED_SHOT' END
+                     ELSE CASE user_id % 3 WHEN 0 THEN 'TAKEAWAY' WHEN 1 THEN 'GIVEAWAY' ELSE 'PENALTY' END END AS event_type
+            FROM events) raw) named
 """
 
 SHIFTS = """
@@ -57,7 +67,7 @@ FROM lineitem GROUP BY 1, 2, 3
 """
 
 _PARTS = {"feed_games": GAMES, "feed_events": EVENTS, "feed_shifts": SHIFTS, "feed_metric": METRIC}
-_NEEDS = {"feed_games": (), "feed_events": ("feed_games",), "feed_shifts": ("feed_games",), "feed_metric": ()}
+_NEEDS = {"feed_games": (), "feed_events": (), "feed_shifts": ("feed_games",), "feed_metric": ()}
 
 
 def with_feed(sql: str) -> str:
@@ -89,7 +99,7 @@ class Feed:
 
     @property
     def events(self) -> DataFrame:
-        return self._sql(EVENTS, events=self.table("events"), feed_games=self.games)
+        return self._sql(EVENTS, events=self.table("events"))
 
     @property
     def shifts(self) -> DataFrame:

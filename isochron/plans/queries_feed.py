@@ -123,13 +123,23 @@ def c10_stint_before_goal(feed: Feed) -> DataFrame:
     return J.first_within(goals, s, ["game_id", "period"], "period_seconds", "start_seconds", 60, ["stint_id"]).select("game_id", "event_id", "stint_id")
 
 
-_WIDE = "game_id, stint_id, period, start_seconds, duration, n_events, score_state, zone, home_corsi, away_corsi, home_goals, away_goals"
+_WIDE = ["game_id", "stint_id", "period", "start_seconds", "duration", "n_events", "score_state", "zone"]
+_COUNTED = [f"{side}_{k}" for k in P.MEASURES[:5] for side in ("home", "away")]
+_SUMMED = [f"{side}_{k}" for k in P.MEASURES[5:] for side in ("home", "away")]
 
 
-@query(after(STINTS, f"SELECT {_WIDE}, round(home_xg, 6) AS home_xg, round(away_xg, 6) AS away_xg, array_to_string(home_skaters, ',') AS home, array_to_string(away_skaters, ',') AS away FROM stints"))
+@query(after(STINTS, f"""
+SELECT {", ".join(_WIDE + _COUNTED)}, {", ".join(f"round({c}, 6) AS {c}" for c in _SUMMED)},
+  {", ".join(f"home_{k} - away_{k} AS net_{k}" for k in P.MEASURES[:5])}, {", ".join(f"round(home_{k} - away_{k}, 6) AS net_{k}" for k in P.MEASURES[5:])},
+  round(home_goals - away_goals - home_xg + away_xg, 6) AS net_finishing, array_to_string(home_skaters, ',') AS home, array_to_string(away_skaters, ',') AS away FROM stints"""))
 def d14_d16_stints(feed: Feed) -> DataFrame:
+    """All measures of both sides, and their differences."""
     s = P.stints(P.filter_strength(P.lineups(feed), "5v5"))
-    return s.select(*[F.col(c).cast("long") if c == "score_state" else c for c in _WIDE.split(", ")], F.round("home_xg", 6).alias("home_xg"), F.round("away_xg", 6).alias("away_xg"), _ids("home_skaters").alias("home"), _ids("away_skaters").alias("away"))
+    net = [f"net_{k}" for k in P.MEASURES[5:]] + ["net_finishing"]
+    return s.select(
+        *[F.col(c).cast("long") if c == "score_state" else c for c in _WIDE], *_COUNTED, *[F.round(c, 6).alias(c) for c in _SUMMED + net],
+        *[f"net_{k}" for k in P.MEASURES[:5]], _ids("home_skaters").alias("home"), _ids("away_skaters").alias("away"),
+    )
 
 
 @query(after(STINTS, "SELECT season, player_id, CAST(sum(duration) AS BIGINT) AS toi_seconds, count(DISTINCT game_id) AS games FROM members GROUP BY 1, 2"))

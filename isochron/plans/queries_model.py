@@ -31,7 +31,7 @@ METRICS = {
 def rated_stints(feed: Feed, strength: str = "5v5") -> DataFrame:
     s = P.stints(P.filter_strength(P.lineups(feed), strength))
     out = s.withColumn(_ROW, F.concat_ws("-", F.col("game_id").cast("string"), F.col("stint_id").cast("string")))
-    return out.withColumns({"net_finishing": F.col("net_goals") - F.col("net_xg"), "w": F.col("duration").cast("double")})
+    return out.withColumn("w", F.col("duration").cast("double"))
 
 
 def net_design(rows: DataFrame, adjusted: bool) -> DataFrame:

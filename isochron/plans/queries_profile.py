@@ -31,13 +31,18 @@ def d23_roster_strength(feed: Feed) -> DataFrame:
     return out.withColumn("strength", F.round("strength", 6))
 
 
-@query(after(STINTS, """SELECT season, team_id, round(sum(duration) / 3600, 6) AS hours, round(sum(c) / (sum(duration) / 3600), 5) AS corsi_60,
-  round(sum(g) / (sum(duration) / 3600), 5) AS goals_60, round(sum(x) / (sum(duration) / 3600), 5) AS xg_60
-  FROM (SELECT season, home_team_id AS team_id, duration, home_corsi - away_corsi AS c, home_goals - away_goals AS g, home_xg - away_xg AS x FROM stints
-  UNION ALL SELECT season, away_team_id, duration, away_corsi - home_corsi, away_goals - home_goals, away_xg - home_xg FROM stints) GROUP BY 1, 2"""))
+def _rate(measure: str) -> str:
+    return f"CAST(floor(CAST(sum({measure}) AS DOUBLE) * CAST(3600 AS DOUBLE) / sum(duration)) AS DOUBLE) / 1e6 AS {measure}_60"
+
+
+@query(after(STINTS, f"""
+SELECT season, team_id, round(sum(duration) / 3600, 6) AS hours, {_rate("corsi")}, {_rate("goals")}, {_rate("xg")}
+FROM (SELECT season, unnest([home_team_id, away_team_id]) AS team_id, duration, unnest([1, -1]) * (home_corsi - away_corsi) * 1000000 AS corsi,
+        unnest([1, -1]) * (home_goals - away_goals) * 1000000 AS goals, unnest([1, -1]) * CAST(round((home_xg - away_xg) * 1e6) AS BIGINT) AS xg FROM stints)
+GROUP BY 1, 2"""))
 def d25_team_efficiency(feed: Feed) -> DataFrame:
     rates = O.team_rates(P.stints(P.filter_strength(P.lineups(feed), "5v5")), ["corsi", "goals", "xg"])
-    return rates.select("season", "team_id", F.round("hours", 6).alias("hours"), *[F.round(f"{m}_60", 5).alias(f"{m}_60") for m in ("corsi", "goals", "xg")])
+    return rates.select("season", "team_id", F.round("hours", 6).alias("hours"), "corsi_60", "goals_60", "xg_60")
 
 
 @query(with_feed("""SELECT event_type, count(*) AS n, count(*) FILTER (team_id IS NULL OR team_id <> event_team_id) AS mismatched,

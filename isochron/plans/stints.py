@@ -6,26 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochron.functions.scalars import bucket_clamp, map_zone
-from isochron.operators.joins import on_ice
-from isochron.plans.feed import Feed
+from isochron.operators.joins import lookahead_sum, on_ice_candidates
+from isochron.plans.feed import GAME_COLUMNS, Feed
 
 SHOTS = ("SHOT", "MISSED_SHOT", "GOAL", "BLOCKED_SHOT")
 
 
 def lineups(feed: Feed) -> DataFrame:
-    """Each event with both sides' skaters (sorted arrays), goalie counts and the running score before nothing else."""
-    ice = on_ice(feed.events, feed.shifts)
+    """Each event with both sides' skaters (sorted arrays), goalie counts and the running score, its own goal included;
+    the score counts goals at any strength, so it comes before any filter."""
+    events = feed.events.withColumns({name: F.expr(x) for name, x in GAME_COLUMNS.items()})
     goalie = F.col("player_id") % 100 == 90
-    sides = ice.groupBy("game_id", "event_id", "team_id").agg(
-        F.array_sort(F.collect_set(F.when(~goalie, F.col("player_id")))).alias("skaters"), F.sum(goalie.cast("long")).alias("goalies")
-    )
-    e = feed.events.join(feed.games.select("game_id", "season", "home_team_id", "away_team_id"), "game_id")
+    sides = []
     for side in ("home", "away"):
-        s = sides.select("game_id", "event_id", F.col("team_id").alias(f"{side}_team_id"), F.col("skaters").alias(f"{side}_skaters"), F.col("goalies").alias(f"{side}_goalies"))
-        e = e.join(s, ["game_id", "event_id", f"{side}_team_id"], "left")
+        own = F.col("member") & (F.col("team_id") == F.expr(GAME_COLUMNS[f"{side}_team_id"]))
+        sides += [F.array_sort(F.collect_set(F.when(own & ~goalie, F.col("player_id")))).alias(f"{side}_skaters"), F.count_if(own & goalie).alias(f"{side}_goalies")]
+    ice = on_ice_candidates(events, feed.shifts).groupBy("game_id", "event_id").agg(*sides)
     empty = F.array().cast("array<bigint>")
-    return e.select(
-        "game_id", "season", "event_id", "period", "period_seconds", "event_type", "event_team_id", "home_team_id", "away_team_id", "zone_code", "player_1_id", "xg",
+    rows = running_score(events).join(ice, ["game_id", "event_id"], "left")
+    return rows.select(
+        "game_id", "season", "event_id", "period", "period_seconds", "event_type", "event_team_id", "home_team_id", "away_team_id", "zone_code", "player_1_id", "player_2_id", "player_3_id", "xg", "home_score", "away_score",
         *[F.coalesce(f"{s}_skaters", empty).alias(f"{s}_skaters") for s in ("home", "away")], *[F.coalesce(f"{s}_goalies", F.lit(0)).cast("long").alias(f"{s}_goalies") for s in ("home", "away")],
     )
 
@@ -55,13 +55,38 @@ def stint_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stint_id", F.sum(changed.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def stints(rows: DataFrame, period_length: int = 1200) -> DataFrame:
-    """Measures of each side and their differences, start, duration, score state and starting zone; stints without a
-    duration go."""
-    rows = stint_ids(running_score(rows))
+#: Seconds after an event in which its swing counts; xG of a high danger.
+SWING_SECONDS, HIGH_DANGER = 10, 0.2
+
+#: Measures of a side, in the order of the stints' columns. Swings: xG for less against in the seconds after an event.
+MEASURES = (
+    "corsi", "goals", "a1", "a2", "penalties", "xg", "xg_a1", "xg_a2", "hd_xg",
+    "takeaway_swing", "giveaway_swing", "turnover_swing", "block_swing", "faceoff_swing",
+)
+
+_TRIGGERS = {"takeaway": "TAKEAWAY", "giveaway": "GIVEAWAY", "block": "BLOCKED_SHOT", "faceoff": "FACEOFF"}
+
+
+def _with_swing(rows: DataFrame) -> DataFrame:
+    """Adds swing: home less away xG of shots in the SWING_SECONDS after an event, seen from the event's side."""
     home = F.col("event_team_id") == F.col("home_team_id")
-    kinds = {"corsi": F.when(F.col("event_type").isin(*SHOTS), 1).otherwise(0), "goals": F.when(F.col("event_type") == "GOAL", 1).otherwise(0), "penalties": F.when(F.col("event_type") == "PENALTY", 1).otherwise(0), "xg": F.coalesce("xg", F.lit(0.0)), "hd_xg": F.when(F.col("xg") >= 0.2, F.col("xg")).otherwise(0.0)}
-    sums = [F.sum(F.when(home if side == "home" else ~home, x).otherwise(0)).alias(f"{side}_{k}") for k, x in kinds.items() for side in ("home", "away")]
+    side = lambda own: lookahead_sum(rows, ["game_id", "period"], "period_seconds", F.when(own, F.col("xg")), SWING_SECONDS)
+    return rows.withColumn("swing", F.when(home, 1.0).otherwise(-1.0) * (F.coalesce(side(home), F.lit(0.0)) - F.coalesce(side(~home), F.lit(0.0))))
+
+
+def stints(rows: DataFrame, period_length: int = 1200) -> DataFrame:
+    """Measures of each side and their differences, start, duration, score state (the commonest running score of the
+    stint's events, within two goals) and starting zone; stints without a duration go. Swings see the given rows only."""
+    rows = _with_swing(stint_ids(rows))
+    home, goal = F.col("event_team_id") == F.col("home_team_id"), F.col("event_type") == "GOAL"
+    count = lambda test: F.when(test, 1).otherwise(0)
+    part = lambda test: F.when(test, F.coalesce("xg", F.lit(0.0))).otherwise(0.0)
+    first, second = goal & F.col("player_2_id").isNotNull(), goal & F.col("player_3_id").isNotNull()
+    kinds = {"corsi": count(F.col("event_type").isin(*SHOTS)), "goals": count(goal), "a1": count(first), "a2": count(second), "penalties": count(F.col("event_type") == "PENALTY")}
+    kinds |= {"xg": part(F.lit(True)), "xg_a1": part(first), "xg_a2": part(second), "hd_xg": part(F.col("xg") >= HIGH_DANGER)}
+    kinds |= {f"{name}_swing": F.when(F.col("event_type") == kind, F.col("swing")).otherwise(0.0) for name, kind in _TRIGGERS.items()}
+    kinds["turnover_swing"] = kinds["takeaway_swing"] + kinds["giveaway_swing"]
+    sums = [F.sum(F.when(home if side == "home" else ~home, kinds[k]).otherwise(0)).alias(f"{side}_{k}") for k in MEASURES for side in ("home", "away")]
     order = F.struct("period_seconds", "event_id")
     state = bucket_clamp(F.col("home_score") - F.col("away_score"))
     faceoff = F.col("event_type") == "FACEOFF"
@@ -70,7 +95,8 @@ def stints(rows: DataFrame, period_length: int = 1200) -> DataFrame:
     )
     ends = F.coalesce(F.lead("start_seconds").over(Window.partitionBy("game_id", "period").orderBy("stint_id")), F.lit(period_length))
     out = out.withColumn("duration", ends - F.col("start_seconds")).filter("duration > 0").withColumn("zone", F.coalesce("zone", F.lit("N")))
-    return out.withColumns({f"net_{k}": F.col(f"home_{k}") - F.col(f"away_{k}") for k in kinds})
+    net = {f"net_{k}": F.col(f"home_{k}") - F.col(f"away_{k}") for k in MEASURES}
+    return out.withColumns(net).withColumn("net_finishing", F.col("net_goals") - F.col("net_xg"))
 
 
 def player_stints(s: DataFrame) -> DataFrame:
