@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from isochron.functions import scalars as S
 from isochron.operators import joins as J
 from isochron.operators import regression as R
+from isochron.operators import ridge as G
 from isochron.operators import series as T
 from isochron.plans import stints as P
 from isochron.plans.feed import Feed, with_feed
@@ -20,25 +21,12 @@ from isochron.plans.sql import STINTS, after
 
 _ROW = "row_id"
 
-#: Ratings: target measure, design, and whether score and zone effects are fitted. `off`/`def` come from one design.
-METRICS = {
-    "corsi_rapm_5v5": ("corsi", "net", True), "goals_rapm_5v5": ("goals", "net", True), "xg_rapm_5v5": ("xg", "net", False), "hd_xg_rapm_5v5_ge020": ("hd_xg", "net", False),
-    "finishing_residual_rapm_5v5": ("finishing", "net", False), "corsi_off_def_rapm_5v5": ("corsi", "offdef", True), "xg_off_def_rapm_5v5": ("xg", "offdef", False), "penalties_rapm_5v5": ("penalties", "offdef", False),
-    "corsi_pp_off_pk_def": ("corsi", "power", True), "xg_pp_off_pk_def": ("xg", "power", False),
-}
-
-
 def rated_stints(feed: Feed, strength: str = "5v5") -> DataFrame:
     s = P.stints(P.filter_strength(P.lineups(feed), strength))
     out = s.withColumn(_ROW, F.concat_ws("-", F.col("game_id").cast("string"), F.col("stint_id").cast("string")))
     return out.withColumn("w", F.col("duration").cast("double"))
 
 
-def net_design(rows: DataFrame, adjusted: bool) -> DataFrame:
-    d = R.entries(rows, _ROW, "home_skaters", "away_skaters")
-    return d.unionByName(R.fixed_effects(rows, _ROW, "score_state", "zone")) if adjusted else d
-
-
 def two_sided(rows: DataFrame) -> DataFrame:
     """Each stint seen from both sides: attack, defend, score and the attacking side's measures."""
     def side(a: str, d: str, sign: int):
@@ -49,32 +37,6 @@ def two_sided(rows: DataFrame) -> DataFrame:
     return out
 
 
-def fit_all(feed: Feed, names=tuple(METRICS), alpha: float = 100.0) -> DataFrame:
-    """(metric_name, name, value an hour) of ratings: stints are made once, and each design has one Gram for all its
-    targets. Effects of score and zone are fitted and left out."""
-    designs: dict[tuple[str, bool], list[str]] = {}
-    for name in names:
-        designs.setdefault(METRICS[name][1:], []).append(name)
-    stints = {k: rated_stints(feed, k).persist() for k in ({"pp" if d == "power" else "5v5" for d, _ in designs})}
-    out = None
-    for (design, adjusted), own in designs.items():
-        rows = stints["pp" if design == "power" else "5v5"]
-        if design == "net":
-            d, targets = net_design(rows, adjusted), rows.select(_ROW, "w", *[(F.col(f"net_{METRICS[n][0]}") / F.col("w")).alias(n) for n in own])
-        else:
-            both = two_sided(rows)
-            if design == "power":
-                both = both.filter(F.size("attack") > F.size("defend"))
-            d = _scaled(both, *(("1.0D / size(attack)", "1.0D / size(defend)") if design == "power" else ("1.0D", "1.0D")))
-            if adjusted:
-                d = d.unionByName(R.fixed_effects(both, _ROW, "score", "zone"))
-            targets = both.select(_ROW, "w", *[(F.col(METRICS[n][0]) / F.col("w")).alias(n) for n in own])
-        fitted = R.ridge(d, targets, _ROW, "w", own, alpha).filter(~F.col("name").startswith("fe:"))
-        out = fitted if out is None else out.unionByName(fitted)
-    sign = F.when(F.col("name").startswith("def:") & ~F.col("y").startswith("penalties"), -1.0).otherwise(1.0)
-    return out.select(F.col("y").alias("metric_name"), "name", F.round(sign * F.col("coefficient") * 3600, 6).alias("value"))
-
-
 def _scaled(both: DataFrame, off: str, dfn: str) -> DataFrame:
     side = lambda c, kind, x: both.select(_ROW, F.explode(c).alias("m"), F.expr(x).alias("x")).select(_ROW, F.concat(F.lit(kind), F.col("m").cast("string")).alias("name"), "x")
     return side("attack", "off:", off).unionByName(side("defend", "def:", dfn))
@@ -97,8 +59,8 @@ def g3_fixed_effects(feed: Feed) -> DataFrame:
 
 @query(after(STINTS, "SELECT CAST(a.player_id AS VARCHAR) AS a, CAST(b.player_id AS VARCHAR) AS b, CAST(sum(a.duration * a.sign * b.sign) AS DOUBLE) AS wxx FROM members a JOIN members b ON a.game_id = b.game_id AND a.stint_id = b.stint_id AND a.player_id <= b.player_id GROUP BY 1, 2"))
 def g4_gram(feed: Feed) -> DataFrame:
-    rows = rated_stints(feed)
-    return R.gram(R.entries(rows, _ROW, "home_skaters", "away_skaters"), rows, _ROW, "w", [])[0]
+    rows = rated_stints(feed).select("w", G.net_entries("home_skaters", "away_skaters").alias("entries"), F.array().cast("array<struct<name:string,y:double>>").alias("targets"))
+    return G.moments(rows, []).filter(F.col("b") != G.INTERCEPT).select("a", "b", F.col("s").alias("wxx"))
 
 
 @query(after(STINTS, "SELECT game_id || '-' || stint_id AS row_id FROM stints s WHERE NOT EXISTS (SELECT 1 FROM members m JOIN (SELECT player_id, sum(duration) AS d FROM members GROUP BY 1) t ON t.player_id = m.player_id AND t.d < 4500 WHERE m.game_id = s.game_id AND m.stint_id = s.stint_id)"))
@@ -108,19 +70,6 @@ def g7_min_exposure(feed: Feed) -> DataFrame:
     return R.min_exposure(rows, _ROW, ["home_skaters", "away_skaters"], toi, "player_id", "toi", 4500).select(_ROW)
 
 
-@query()
-def g4_h_ratings(feed: Feed) -> DataFrame:
-    """All ratings of the table above."""
-    return fit_all(feed)
-
-
-@query()
-def g5_ridge_loo(feed: Feed) -> DataFrame:
-    rows = rated_stints(feed).persist()
-    targets = rows.select(_ROW, "w", (F.col("net_corsi") / F.col("w")).alias("y"))
-    return R.loo_errors(net_design(rows, True), targets, _ROW, "w", "y", [10.0, 100.0, 1000.0])
-
-
 @query()
 def g8_shot_model(feed: Feed) -> DataFrame:
     """Chance of a goal from distance, angle and zone, classes balanced; scored for each shot."""

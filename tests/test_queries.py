@@ -10,8 +10,9 @@ from isochron.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: What the smallest tables have too few games or seasons for.
+EMPTY = {"h18_rolling_ratings"}
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"g4_h_ratings", "g5_ridge_loo"}
 
 
 @pytest.fixture(scope="module")
@@ -36,34 +37,10 @@ def test_same_rows(name, spark, duck):
     assert cells(df.collect(), [df.columns.index(c) for c in sorted(names)]) == cells(got.fetchall(), [names.index(c) for c in sorted(names)])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark):
-    assert QUERIES[name](spark, SF).count() >= 0
-
-
-def test_ridge_is_the_closed_form(spark):
-    import numpy as np
-
-    from isochron.operators.regression import loo_errors, ridge
-
-    rng = np.random.default_rng(1)
-    x, w, y = rng.integers(-1, 2, (30, 4)).astype(float), rng.uniform(1, 3, 30), rng.normal(size=30)
-    design = spark.createDataFrame([(i, f"c{j}", float(x[i, j])) for i in range(30) for j in range(4) if x[i, j]], "row_id long, name string, x double")
-    targets = spark.createDataFrame([(i, float(w[i]), float(y[i])) for i in range(30)], "row_id long, w double, y double")
-
-    def fit(keep, alpha):
-        a, b, c = x[keep], y[keep], w[keep]
-        ma, mb = (c[:, None] * a).sum(0) / c.sum(), (c * b).sum() / c.sum()
-        beta = np.linalg.solve((a - ma).T @ (c[:, None] * (a - ma)) + alpha * np.eye(4), (a - ma).T @ (c * (b - mb)))
-        return beta, mb - ma @ beta
-
-    got = {r.name: r.coefficient for r in ridge(design, targets, "row_id", "w", ["y"], 2.0).collect()}
-    assert np.allclose([got[f"c{j}"] for j in range(4)], fit(np.arange(30), 2.0)[0], atol=1e-9)
-    brute = 0.0
-    for i in range(30):
-        beta, b0 = fit(np.delete(np.arange(30), i), 2.0)
-        brute += w[i] * (y[i] - b0 - x[i] @ beta) ** 2
-    assert abs(loo_errors(design, targets, "row_id", "w", "y", [2.0]).first().loo_mse - brute / w.sum()) < 1e-6
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows or name in EMPTY
 
 
 def test_sources(spark, tmp_path):
