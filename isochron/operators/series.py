@@ -36,6 +36,61 @@ def forecasts(series: DataFrame, keys: Sequence[str], horizons: Sequence[int], l
     return rows.select(*keys, "horizon", F.col("s.m").alias("mean"), (F.col("s.p") + F.col("horizon") * F.col("q")).alias("variance"))
 
 
+def _filtered(points: Column, q: Column, r: Column, first: Column) -> Column:
+    """Mean m and variance p after each point; the first point is expected at itself, with variance `first`."""
+    kind = "array<struct<m:double,p:double>>"
+
+    def step(done, y):
+        begun = F.size(done) > 0
+        mean = F.when(begun, F.try_element_at(done, F.lit(-1))["m"]).otherwise(y)
+        before = F.when(begun, F.try_element_at(done, F.lit(-1))["p"] + q).otherwise(first)
+        gain = before / (before + r)
+        return F.concat(done, F.array(F.struct((mean + gain * (y - mean)).alias("m"), ((1 - gain) * before).alias("p"))))
+
+    return F.aggregate(points, F.array().cast(kind), step)
+
+
+def _smoothed(filtered: Column, q: Column) -> Column:
+    """Mean m, variance p, and covariance c with the next, of each point given all of them, from the end backwards."""
+    last = F.element_at(filtered, -1)
+    begin = F.array(F.struct(last["m"].alias("m"), last["p"].alias("p"), F.lit(0.0).alias("c")))
+
+    def step(done, f):
+        after = F.element_at(done, 1)
+        gain = f["p"] / (f["p"] + q)
+        own = F.struct((f["m"] + gain * (after["m"] - f["m"])).alias("m"), (f["p"] + gain * gain * (after["p"] - f["p"] - q)).alias("p"), (gain * after["p"]).alias("c"))
+        return F.concat(F.array(own), done)
+
+    return F.aggregate(F.reverse(F.slice(filtered, 1, F.size(filtered) - 1)), begin, step)
+
+
+def _em_round(points: Column, first: Column, q: Column, r: Column) -> Column:
+    """New variances (struct of q and r) from the smoothed series and its lag-one covariances."""
+    sm = _smoothed(_filtered(points, q, r, first), q)
+    n, total = F.size(points), lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    misses = F.zip_with(points, sm, lambda y, s: (y - s["m"]) * (y - s["m"]) + s["p"])
+    moves = F.zip_with(F.slice(sm, 1, n - 1), F.slice(sm, 2, n - 1), lambda a, b: (b["m"] - a["m"]) * (b["m"] - a["m"]) + b["p"] + a["p"] - 2 * a["c"])
+    return F.struct((total(moves) / (n - 1)).alias("q"), (total(misses) / n).alias("r"))
+
+
+def smooth(df: DataFrame, keys: Sequence[str], order: str, value: str, rounds: int = 10) -> DataFrame:
+    """keys, order, value, filtered_mean, filtered_var, smoothed_mean, smoothed_var, process_variance and
+    observation_variance of a local level for each series of two points or more that isn't all zeros; nulls are 0. Both
+    variances begin as half the series' and take `rounds` EM steps. A series is a row, so all of it is native arrays."""
+    own = df.withColumn("_y", F.coalesce(F.col(value).cast("double"), F.lit(0.0))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col("_y").alias("y")))).alias("_p"), F.var_pop("_y").alias("_v"))
+    own = own.filter((F.size("_p") >= 2) & F.exists("_p", lambda p: p["y"] != 0)).withColumn("_y", F.transform("_p", lambda p: p["y"]))
+    own = own.withColumn("_v", F.when(F.col("_v") > 0, F.col("_v")).otherwise(0.01))
+    begin = F.struct((F.col("_v") * 0.5).alias("q"), (F.col("_v") * 0.5).alias("r"))
+    own = own.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, _: _em_round(F.col("_y"), F.col("_v"), s["q"], s["r"])))
+    own = own.withColumn("_f", _filtered(F.col("_y"), F.col("_s.q"), F.col("_s.r"), F.col("_v")))
+    own = own.withColumn("_b", _smoothed(F.col("_f"), F.col("_s.q")))
+    rows = own.select(*keys, "_s", F.explode(F.arrays_zip("_p", "_f", "_b")).alias("_x"))
+    return rows.select(
+        *keys, F.col(f"_x._p.{order}").alias(order), F.col("_x._p.y").alias(value), F.col("_x._f.m").alias("filtered_mean"), F.col("_x._f.p").alias("filtered_var"),
+        F.col("_x._b.m").alias("smoothed_mean"), F.col("_x._b.p").alias("smoothed_var"), F.col("_s.q").alias("process_variance"), F.col("_s.r").alias("observation_variance"),
+    )
+
+
 def trend_forecasts(df: DataFrame, keys: Sequence[str], order: str, value: str, horizons: Sequence[int], least: int = 3) -> DataFrame:
     """Straight-line forecasts over the order's index, with 1.96 deviations that widen with the root of the horizon."""
     i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1

@@ -115,14 +115,6 @@ def g29_fitness(feed: Feed) -> DataFrame:
     return feed.metric.groupBy("metric_name", "season").agg(F.round(F.stddev_samp(value) + 10 * F.avg(F.when(F.abs(value) > 40, 1.0).otherwise(0.0)), 5).alias("fitness"))
 
 
-@query(with_feed("""SELECT metric_name, count(DISTINCT player_id) AS series, round(stddev_samp(value), 3) AS observed, round(stddev_samp(smooth), 3) AS smoothed,
-  round(1 - stddev_samp(smooth) / stddev_samp(value), 5) AS reduction FROM (SELECT *, avg(value) OVER (PARTITION BY metric_name, player_id ORDER BY season ROWS 2 PRECEDING) AS smooth FROM feed_metric) GROUP BY 1"""))
-def g36_variance_reduction(feed: Feed) -> DataFrame:
-    rows = feed.metric.withColumn("smooth", F.avg("value").over(Window.partitionBy("metric_name", "player_id").orderBy("season").rowsBetween(-2, 0)))
-    one, two = F.stddev_samp("value"), F.stddev_samp("smooth")
-    return rows.groupBy("metric_name").agg(F.count_distinct("player_id").alias("series"), F.round(one, 3).alias("observed"), F.round(two, 3).alias("smoothed"), F.round(1 - two / one, 5).alias("reduction"))
-
-
 @query(with_feed("""SELECT season, player_id, metric_name, round(CASE WHEN sum(own) OVER g > 0 THEN own / sum(own) OVER g ELSE 1.0 / count(*) OVER g END, 6) AS share
   FROM (SELECT *, greatest(value - 30000, 0) * CASE WHEN metric_name = 'A_F' THEN 2 ELSE 1 END AS own FROM feed_metric) WINDOW g AS (PARTITION BY season, player_id)"""))
 def g35_shares(feed: Feed) -> DataFrame:

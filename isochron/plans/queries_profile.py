@@ -96,16 +96,6 @@ def g23_forecast_timeline(feed: Feed) -> DataFrame:
     return O.timeline(history, ahead, keys).withColumns({c: F.round(c, 3) for c in ("mean", "low", "high")})
 
 
-@query(with_feed("""SELECT season, metric_name, player_id, round(CASE WHEN season < (SELECT max(season) FROM feed_metric) THEN smooth ELSE value END, 4) AS signal
-  FROM (SELECT *, avg(value) OVER (PARTITION BY metric_name, player_id ORDER BY season ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM feed_metric)"""))
-def i10_signal(feed: Feed) -> DataFrame:
-    """A centred mean for past seasons, the value itself for the latest."""
-    keys = ["season", "metric_name", "player_id"]
-    w = Window.partitionBy("metric_name", "player_id").orderBy("season").rowsBetween(-1, 1)
-    smoothed = feed.metric.select(*keys, F.avg("value").over(w).alias("value"))
-    return O.signal(smoothed, feed.metric, keys, "season", "value").withColumn("signal", F.round("signal", 4))
-
-
 _CHANGE = """(SELECT *, lag(value) OVER w AS before, avg(value) OVER w AS career, row_number() OVER w AS years
   FROM feed_metric WINDOW w AS (PARTITION BY metric_name, player_id ORDER BY season))"""
 
