@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -35,18 +36,24 @@ from isochron.llm.store import small_batches, written
 from isochron.llm.words import LOWER, SPACE, slices, split_words, text_bytes
 
 #: Classes of the network's words, and words in each.
-CLASSES, MEMBERS = 48, 84
+CLASSES, MEMBERS = 32, 63
 WORDS = CLASSES * MEMBERS
 
 #: Shapes of other words: three kinds of last mark, and nine of letters.
 SHAPES = 27
 
-STATE, LANES, STEPS = 16, 256, 16
+STATE, LANES, STEPS = 16, 512, 16
+
+#: Tokens of the documents that are scored side by side: the longer the list, the fewer steps with few documents left.
+SIDE_BY_SIDE = 6_000_000
 
 #: Shares of the training documents in the rounds; tokens that a task trains on at least.
 ROUNDS, TASK_TOKENS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1), 2_000_000
 
-RATE = 0.05
+RATE = 0.1
+
+#: Logits end here, so that their exponentials are finite.
+MOST_LOGIT = 60
 
 FREQUENT, WORD_BYTES = 200_000, 64
 
@@ -66,16 +73,17 @@ def held_out(fold: int = 2, folds: int = 7) -> Column:
 
 
 def _split(column: pa.Array):
-    """Words of all rows, where each row's begin, and the words' shapes."""
+    """The distinct words of all rows, each token's number among them, where each row's tokens begin, and the words' shapes."""
     data, places = text_bytes(column)
-    data = LOWER[data]
-    words, starts, ends, first = split_words(data, places, ~SPACE)
+    words, _, _, first = split_words(LOWER[data], places, ~SPACE)
+    coded = words.dictionary_encode()
+    distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    own, places = text_bytes(distinct)
     shapes = np.zeros(0, np.int64)
-    if len(starts):
-        extra = np.where((data & 0xC0) == 0x80, (data & 0x3F) // 8 + 1, 0).astype(np.uint8)
-        most = np.maximum.reduceat(np.append(extra, np.uint8(0)), np.stack([starts, ends], 1).ravel())[::2]
-        shapes = _ENDS[data[ends - 1]] * 9 + most
-    return words, first, shapes
+    if len(distinct):
+        extra = np.where((own & 0xC0) == 0x80, (own & 0x3F) // 8 + 1, 0).astype(np.uint8)
+        shapes = _ENDS[own[places[1:] - 1]] * 9 + np.maximum.reduceat(extra, places[:-1])
+    return distinct, codes, first, shapes
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -90,12 +98,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield from pa.table({"word": table["word"].cast(pa.string()), "shape": table["shape"], "n": table["n_sum"]}).to_batches()
 
         for batch in slices(batches, "_text"):
-            words, _, shapes = _split(batch.column("_text"))
-            coded = words.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            own = np.zeros(len(coded.dictionary), np.int64)
-            own[codes] = shapes
-            held.append(pa.table({"word": coded.dictionary.cast(pa.binary()), "shape": own.astype(np.int32), "n": np.bincount(codes, minlength=len(own))}))
+            words, codes, _, shapes = _split(batch.column("_text"))
+            held.append(pa.table({"word": words.cast(pa.binary()), "shape": shapes.astype(np.int32), "n": np.bincount(codes, minlength=len(words))}))
             held.append(pa.table({"word": pa.array([END.encode()], pa.binary()), "shape": np.zeros(1, np.int32), "n": np.array([batch.num_rows])}))
             if sum(t.num_rows for t in held) > 150_000:
                 yield from merged()
@@ -155,17 +159,14 @@ def encode(docs: DataFrame, known: Corpus) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((known.words, known.counts, known.known))  # FREQUENT words of WORD_BYTES at most
 
     def apply(batches):
-        import pyarrow.compute as pc
-
         words, counts, size = shared.value
         table = pa.array([x.encode() for x in words], pa.large_binary())
         logs = np.append(np.log10(counts + 1.0), 0.0)
         for batch in slices(batches, "_text"):
-            own, first, shapes = _split(batch.column("_text"))
-            coded = own.dictionary_encode()
-            found = pc.fill_null(pc.index_in(coded.dictionary, value_set=table), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = found[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
-            ids = np.where((at >= 0) & (at < size), at, WORDS + shapes)
+            distinct, codes, first, shapes = _split(batch.column("_text"))
+            found = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = found[codes]
+            ids = np.where((found >= 0) & (found < size), found, WORDS + shapes)[codes]
             rows, lengths = batch.num_rows, np.diff(first)
             row = np.repeat(np.arange(rows), lengths)
             flat = np.zeros(len(ids) + rows, np.uint16)  # an end, number 0, follows each
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, known: Corpus) -> DataFrame:
                 batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths + 1),
                 pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(places), pa.py_buffer(flat)]).cast(pa.binary()),
                 pa.array(np.bincount(row[at >= 0], minlength=rows) + known_end), pa.array(total(at >= 0, gained) + logs[0]), pa.array(total(at >= size, gained)),
-                pa.ListArray.from_arrays(pa.array(listed), own.take(pa.array(rest)).cast(pa.binary()).cast(pa.string())),
+                pa.ListArray.from_arrays(pa.array(listed), distinct.take(pa.array(codes[rest])).cast(pa.binary()).cast(pa.string())),
             ], ["row", "doc_id", "held_out", "n_tokens", "ids", "n_known", "log_all", "log_shape", "rest"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("string").alias("_text"))
@@ -226,30 +227,40 @@ class Network:
         own.weight["cb"][:] -= np.log(in_class.sum() + shapes.sum())
         return own
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, held: list | None = None) -> np.ndarray:
-        """The state after each step of x (steps, lanes), `h` before them; keep is 0 where a document begins."""
-        gates, u, s = self.weight["w"][x], self.weight["u"], STATE
-        out = np.empty((*x.shape, s), np.float32)
-        for t in range(len(x)):
-            h = h * keep[t]
-            a = h @ u
-            zr = np.tanh((gates[t, :, : 2 * s] + a[:, : 2 * s]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-            z, r = zr[:, :s], zr[:, s:]
-            n = np.tanh(gates[t, :, 2 * s :] + r * a[:, 2 * s :])
-            if held is not None:
-                held.append((h, a, zr, n))
-            h = n + z * (h - n)
-            out[t] = h
+    def states(self, x: np.ndarray, keep: np.ndarray | None, h: np.ndarray, held: list | None = None) -> np.ndarray:
+        """The state after each step of x (steps, lanes), `h` before them; keep, if given, is 0 where a document begins."""
+        s, kind = STATE, self.flat.dtype.type
+        scale = np.repeat([kind(-1), kind(2)], [2 * s, s])  # 1 / (1 + exp(-x)), and tanh x = 1 - 2 / (1 + exp(2x))
+        gates, u = (self.weight["w"] * scale).take(x, axis=0), self.weight["u"] * scale
+        out = np.empty((*x.shape, s), kind)
+        with np.errstate(over="ignore"):  # an infinite exponential is a gate that's shut
+            for t in range(len(x)):
+                if keep is not None:
+                    h = h * keep[t]
+                a = h @ u
+                zr = a[:, : 2 * s] + gates[t, :, : 2 * s]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                n = zr[:, s:] * a[:, 2 * s :]
+                n += gates[t, :, 2 * s :]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(-2, n, out=n)
+                n += 1
+                if held is not None:
+                    held.append((h, a[:, 2 * s :], zr, n))
+                h = np.subtract(h, n, out=out[t])
+                h *= zr[:, :s]
+                h += n
         return out
 
     @staticmethod
-    def _softmax(x: np.ndarray) -> np.ndarray:
-        """Probabilities of each row, in place."""
-        most = x.max(1, keepdims=True)
-        np.exp(x - most, out=x)
-        total = x.sum(1, keepdims=True)
-        x /= total
-        return x
+    def _exp(x: np.ndarray) -> np.ndarray:
+        """The exponentials of each row, in place (logits end at MOST_LOGIT), and the rows' sums."""
+        np.minimum(x, x.dtype.type(MOST_LOGIT), out=x)
+        np.exp(x, out=x)
+        return x @ np.ones(x.shape[1], x.dtype)
 
     def _members(self, y: np.ndarray):
         """Rows of each class among tokens y: (class, rows)."""
@@ -264,34 +275,39 @@ class Network:
 
     def log10(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 of each token's class, and of the word within it for the network's words."""
-        p, number = self.weight, np.arange(len(y))
-        kinds = np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS)
-        out = np.log(self._softmax(h @ p["c"] + p["cb"])[number, kinds].astype(np.float64) + 1e-30)
+        p, out = self.weight, np.empty(len(y))
+
+        def logs(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+            own = np.minimum(x[np.arange(len(x)), target], x.dtype.type(MOST_LOGIT))
+            return own - np.log(self._exp(x))
+
+        out[:] = logs(h @ p["c"] + p["cb"], np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS))
         for c, rows in self._members(y):
-            out[rows] += np.log(self._softmax(h[rows] @ p["o"][c].T + p["ob"][c])[np.arange(len(rows)), y[rows] % MEMBERS].astype(np.float64) + 1e-30)
+            out[rows] += logs(h[rows] @ p["o"][c].T + p["ob"][c], y[rows] % MEMBERS)
         return out / np.log(10)
 
     def _gradients(self, h: np.ndarray, y: np.ndarray):
         """Of the output's weights and of the states, for the tokens' mean loss."""
-        p, number, scale = self.weight, np.arange(len(y)), np.float32(1 / len(y))
-        kinds = np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS)
-        d = self._softmax(h @ p["c"] + p["cb"])
-        d[number, kinds] -= 1
-        d *= scale
+        p, scale = self.weight, h.dtype.type(1 / len(y))
+
+        def slope(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+            x *= (scale / self._exp(x))[:, None]
+            x[np.arange(len(x)), target] -= scale
+            return x
+
+        d = slope(h @ p["c"] + p["cb"], np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS))
         grads = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
         dh = d @ p["c"].T
         for c, rows in self._members(y):
             own = h[rows]
-            d = self._softmax(own @ p["o"][c].T + p["ob"][c])
-            d[np.arange(len(rows)), y[rows] % MEMBERS] -= 1
-            d *= scale
+            d = slope(own @ p["o"][c].T + p["ob"][c], y[rows] % MEMBERS)
             grads["o"][c], grads["ob"][c] = d.T @ own, d.sum(0)
             dh[rows] += d @ p["o"][c]
         return grads, dh
 
     def learn(self, x: np.ndarray, keep: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window: forward, back through its steps, an adaptive gradient step. Returns the state after it."""
-        held, s, u = [], STATE, self.weight["u"]
+        held, s, u, half = [], STATE, self.weight["u"], self.flat.dtype.type(0.5)  # what the state adds is held doubled
         out = self.states(x, keep, h, held)
         grads, dout = self._gradients(out.reshape(-1, s), y.ravel())
         dout = dout.reshape(out.shape)
@@ -304,7 +320,7 @@ class Network:
             dn = dh * (1 - z) * (1 - n * n)
             g = dgates[t]
             g[:, :s] = dh * (before - n) * slope[:, :s]
-            g[:, s : 2 * s] = dn * a[:, 2 * s :] * slope[:, s:]
+            g[:, s : 2 * s] = dn * a * slope[:, s:] * half
             g[:, 2 * s :] = dn
             da = g.copy()
             da[:, 2 * s :] *= r
@@ -396,24 +412,28 @@ def train(coded: DataFrame, known: Corpus, rounds=ROUNDS) -> np.ndarray:
     return network.flat
 
 
-def document_scores(network: Network, ids: list[bytes], steps: int = 32) -> np.ndarray:
+def document_scores(network: Network, ids: list[bytes], steps: int = STEPS) -> np.ndarray:
     """The network's log10 probability of each text; its state goes through the whole text, window by window."""
     lengths = np.array([len(x) // 2 for x in ids], np.int64)
     out = np.zeros(len(ids))
     order = np.argsort(-lengths, kind="stable")
-    y, x, keep = _stream(ids)
-    begins = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    h = np.zeros((len(ids), STATE), np.float32)
-    for at in range(0, int(sizes.max(initial=0)), steps):
-        n = int(np.searchsorted(-sizes, -at, "left"))  # longer than at
-        window = min(steps, int(sizes[0]) - at)
-        inside = np.arange(at, at + window)[:, None] < sizes[None, :n]
-        own = np.where(inside, begins[None, :n] + np.arange(at, at + window)[:, None], 0)
-        states = network.states(x[own], keep[own][..., None], h[:n])
-        h = states[-1]
-        found = network.log10(states[inside], y[own[inside]])
-        out[order[:n]] += np.bincount(np.nonzero(inside)[1], found, n)
+    y, x, _ = _stream(ids)
+    for first in range(0, len(ids), LANES):  # texts of like length go together
+        group = order[first : first + LANES]
+        begins, sizes = (np.cumsum(lengths) - lengths)[group], lengths[group]
+        h = np.zeros((len(group), STATE), network.flat.dtype)
+        for at in range(0, int(sizes[0]), steps):
+            n = int(np.searchsorted(-sizes, -at, "left"))  # longer than at
+            place = np.arange(at, min(at + steps, int(sizes[0])))[:, None]
+            own = np.minimum(begins[:n] + place, len(y) - 1)
+            states = network.states(x[own], None, h[:n])
+            h = states[-1].copy()
+            if sizes[n - 1] >= at + steps:
+                found = network.log10(states.reshape(-1, STATE), y[own].ravel()).reshape(len(own), n).sum(0)
+            else:
+                inside = place < sizes[:n]
+                found = np.bincount(np.nonzero(inside)[1], network.log10(states[inside], y[own[inside]]), n)
+            out[group[:n]] += found
     return out
 
 
@@ -424,10 +444,28 @@ def score(coded: DataFrame, flat: np.ndarray) -> DataFrame:
 
     def apply(batches):
         network = Network(shared.value.copy())
+        held: list[pa.RecordBatch] = []
+        room = SIDE_BY_SIDE
+
+        def scored():
+            ids = [x for batch in held for x in batch.column("ids").to_pylist()]
+            found, at = document_scores(network, ids), 0
+            for batch in held:
+                own = [np.frombuffer(x, np.uint16).astype(np.int64) for x in ids[at : at + batch.num_rows]]
+                shapes = [np.bincount(x[x >= WORDS] - WORDS, minlength=SHAPES).tolist() for x in own]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found[at : at + len(own)]), pa.array(shapes, pa.list_(pa.int64()))], [*keep, "network", "shapes"])
+                at += len(own)
+            held.clear()
+
         for batch in batches:
-            found = document_scores(network, batch.column("ids").to_pylist()) if batch.num_rows else np.zeros(0)
-            shapes = [np.bincount(own[own >= WORDS] - WORDS, minlength=SHAPES) for own in (np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column("ids").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found), pa.array([x.tolist() for x in shapes], pa.list_(pa.int64()))], [*keep, "network", "shapes"])
+            if batch.num_rows:
+                held.append(batch)
+                room -= int(pc.sum(pc.binary_length(batch.column("ids"))).as_py()) // 2
+            if room < 0:
+                yield from scored()
+                room = SIDE_BY_SIDE
+        if held:
+            yield from scored()
 
     schema = coded.select(*keep).schema.add("network", "double").add("shapes", ArrayType(LongType()))
     return coded.select(*keep, "ids").mapInArrow(apply, schema)
