@@ -75,9 +75,9 @@ def learn_dictionary(vectors: DataFrame, order: Sequence[str], dimensions: int,
     give the same dictionary, however they are dealt."""
     spark = vectors.sparkSession
     begin = vectors.select("x", F.xxhash64(*order).alias("_h"), *order).orderBy("_h", *order).limit(dimensions).collect()
-    d = np.array([r.x for r in begin], float).reshape(len(begin), -1)
-    if not len(d):
-        return d
+    if not begin:
+        return np.zeros((0, 0))
+    d = np.array([r.x for r in begin], float)
     d /= np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
     k, width = d.shape
     for _ in range(rounds):

@@ -147,15 +147,6 @@ def i13_qualified(feed: Feed) -> DataFrame:
     return rows.crossJoin(latest).withColumn("qualified", F.when(F.col("season") < F.col("_latest"), past).otherwise(F.col("games") >= 1)).drop("_latest")
 
 
-@query(with_feed("""SELECT g.season, count(*) AS games, count(*) FILTER (ok) AS passed FROM feed_games g JOIN (SELECT game_id, bool_and(n BETWEEN 300 AND 360) AS ok
-  FROM (SELECT game_id, team_id, count(*) AS n FROM feed_shifts WHERE position <> 'G' GROUP BY 1, 2) GROUP BY 1) USING (game_id) GROUP BY 1"""))
-def j10_gate_filter(feed: Feed) -> DataFrame:
-    """Games whose teams both have a likely number of shifts pass and go on; by season."""
-    teams = feed.shifts.filter("position <> 'G'").groupBy("game_id", "team_id").agg(F.count("*").alias("n"))
-    games = teams.groupBy("game_id").agg(F.bool_and(F.col("n").between(300, 360)).alias("ok"))
-    return feed.games.join(games, "game_id").groupBy("season").agg(F.count("*").alias("games"), F.count_if("ok").alias("passed"))
-
-
 @query(with_feed("""SELECT count(*) AS n, round(corr(a.value, b.old), 6) AS r, round(max(abs(a.value - b.old)), 3) <= 0.001 AS close, corr(a.value, b.old) > 0.99 AND max(abs(a.value - b.old)) < 0.001 AS passed
   FROM feed_metric a JOIN (SELECT season, metric_name, player_id, round(value, 4) AS old FROM feed_metric) b USING (season, metric_name, player_id)"""))
 def j25_golden(feed: Feed) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from isochron.operators import aggregates as A
 from isochron.operators import regression as R
 from isochron.operators import ridge as G
+from isochron.operators.gates import only_passed
 from isochron.plans import stints as P
 from isochron.plans.feed import Feed
+from isochron.plans.queries_gates import GATE, game_verdicts
 from isochron.plans.registry import query
 from isochron.plans.sql import EVEN, LINEUPS, UNEVEN, after, stints_sql
 from isochron.sources.shared import stored
@@ -82,10 +84,11 @@ def _variants(strength: str, metrics: dict[str, dict[str, str]]) -> Column:
     return F.array(*out)
 
 
-def rated_rows(feed: Feed, metrics: dict[str, dict[str, str]]) -> DataFrame:
+def rated_rows(feed: Feed, metrics: dict[str, dict[str, str]], gated: bool = False) -> DataFrame:
     """season, game_id, strength, id, both sides' skaters, seconds, w and the designs' rows of each stint; attempts too if
-    asked for, without seconds."""
-    lineups, parts = stored(P.lineups(feed)), []
+    asked for, without seconds. `gated`: only of games that have passed their checks."""
+    lineups, parts = P.lineups(feed), []
+    lineups = stored(only_passed(lineups, game_verdicts(feed), ["game_id"]) if gated else lineups)
     for strength in ("5v5", "pp"):
         s = P.stints(P.filter_strength(lineups, strength)).withColumn("row_id", F.concat_ws("-", F.lit(strength), "game_id", "stint_id"))
         parts.append(s.select("season", "game_id", F.lit(strength).alias("strength"), F.col("row_id").alias("id"), "home_skaters", "away_skaters", F.col("duration").alias("seconds"), F.col("duration").cast("double").alias("w"), _variants(strength, metrics).alias("variants")))
@@ -113,7 +116,7 @@ def _least(seconds: dict[str, int]) -> Column:
 def season_rows(feed: Feed, metrics: dict[str, dict[str, str]] = METRICS) -> DataFrame:
     """Rows of all designs, of stints whose members all have played enough in the season, with is_train: whether a row's
     game is among the first four fifths of the season's."""
-    rows = rated_rows(feed, metrics)
+    rows = rated_rows(feed, metrics, gated=True)
     exposure = _seconds(rows, "season", "strength")
     rows = R.min_exposure(rows, "id", ["home_skaters", "away_skaters"], exposure, "player_id", "toi", _least(SEASON_SECONDS), ["season", "strength"])
     games = R.time_split(feed.games.select("season", "game_id"), "game_id", 0.8, ["season"])
@@ -145,6 +148,8 @@ def _target_rows(metrics: dict[str, dict[str, str]]) -> str:
 
 
 _BOTH = LINEUPS + "," + stints_sql("stints", EVEN) + "," + stints_sql("uneven", UNEVEN)
+_PASSED = "game_id IN (SELECT game_id FROM verdicts WHERE passed)"
+_GATED = GATE + "," + stints_sql("stints", f"{EVEN} AND {_PASSED}") + "," + stints_sql("uneven", f"{UNEVEN} AND {_PASSED}")
 
 
 def _kept(name: str, by: str, least: int, rows: str | None = None) -> str:
@@ -171,9 +176,9 @@ def _name_sql(keys: str, even: str, uneven: str, events: str | None) -> str:
 
 
 _SEASON_SQL = after(
-    _BOTH + f""",
+    _GATED + f""",
 even_kept AS {_kept("stints", "season", SEASON_SECONDS["5v5"])}, uneven_kept AS {_kept("uneven", "season", SEASON_SECONDS["pp"])},
-attempts AS {_kept("stints", "season", SEASON_SECONDS["5v5"], f"(SELECT * FROM lineups WHERE {EVEN} AND event_type IN ('SHOT', 'MISSED_SHOT', 'GOAL', 'BLOCKED_SHOT'))")},
+attempts AS {_kept("stints", "season", SEASON_SECONDS["5v5"], f"(SELECT * FROM lineups WHERE {EVEN} AND {_PASSED} AND event_type IN ('SHOT', 'MISSED_SHOT', 'GOAL', 'BLOCKED_SHOT'))")},
 names AS ({_name_sql("season", "even_kept", "uneven_kept", "attempts")}), targets AS (SELECT * FROM (VALUES {_target_rows(METRICS)}) v(design, target))""",
     "@@",
 )

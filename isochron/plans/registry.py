@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from isochron.plans import queries_basic, queries_context, queries_feed, queries_latent, queries_model, queries_profile, queries_ratings  # noqa: F401  they register
+    from isochron.plans import queries_basic, queries_context, queries_feed, queries_gates, queries_latent, queries_model, queries_profile, queries_ratings  # noqa: F401  they register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

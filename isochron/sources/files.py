@@ -67,8 +67,9 @@ def scan_partitioned(spark: SparkSession, path: str, **patterns: str) -> DataFra
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """One folder for each key value; rows of one value go to few files."""
-    df.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
+    """One folder for each key value, which replaces the one that was there, so a job that runs again repeats nothing; rows
+    of one value go to few files."""
+    replace_partition(df.repartition(*keys), path, keys)
 
 
 def replace_partition(df: DataFrame, path: str, keys: Sequence[str]) -> None:

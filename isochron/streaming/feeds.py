@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from isochron.sources.shared import shared_folder
+
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -45,8 +46,7 @@ def to_completion(df: DataFrame, name: str, mode: str = "complete") -> DataFrame
     """Drives a bounded stream to its end into a table below spark.checkpoint.dir, and returns the table. In complete
     mode each batch replaces the one before; else each has a folder of its own, so a repeated batch adds nothing."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="isochron-")  # unset in local tests alone
-    folder, last = f"{root.rstrip('/')}/{name}", []
+    folder, last = f"{shared_folder(spark)}-{name}", []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
