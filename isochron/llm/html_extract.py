@@ -33,14 +33,14 @@ WINDOW, SURGE = 5, 40
 _INNER = r"""(?:[^<>"'=]|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|["'=])*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|title|(?:annotation-xml|annotation)(?![^<>]*/>))\b" + _INNER + r"(?:>|(?=<)|\Z).*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|textarea|select|object|canvas|title|(?:svg|annotation-xml|annotation)(?![^<>]*/>))\b" + _INNER + r"(?:>|(?=<)|\Z).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*+)(" + _INNER + r")(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _SPACE = re.compile(r"\s+")
 
 #: Elements that stay inside a line.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split()) | frozenset(
     "math maction menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +51,10 @@ MAIN = frozenset("article main".split())
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|side-?bar|comments?|replies|reader-?comments|disqus|respond|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|widgets?|toolbar|pagination|pager|tags?|search|skip|legal|copyright|complementary|contentinfo)(?:$|[\s_-])", re.I
 )
+#: Words that may stand beside a mark in a compound: inside main elements a class word is a mark only if nothing else is in
+#: it, as an article may name its topics there (`legal-analysis`, `search-algorithms`).
+_MARK_WORD = re.compile(_MARKED.pattern.removeprefix(r"(?:^|[\s_-])").removesuffix(r"(?:$|[\s_-])"), re.I)
+_BESIDE = frozenset("area article articles bar block body bottom box btn button buttons container content entry form group header icon icons inner item items left link links list main mid module more page panel post posts reader right section site slot text title top unit user wrap wrapper".split())
 #: Of a main element, which may name its topics in its class: a whole word there that says it is a reader's comment.
 _COMMENT = re.compile(r"(?:(?:div|li|user|reader)[-_])?(?:comments?|repl(?:y|ies))(?:[-_](?:body|content|item|list|text|\d+))?", re.I)
 #: Class words that tell what a page has, hasn't or allows, not what a part is; and those that a heading inside a main
@@ -118,7 +122,7 @@ def _weighted(page: str, tokens: list[re.Match], mains: bool, comments: bool, wi
         at = m.end()
         name = (m.group(3) or "").lower()
         if not name:
-            if m.group(1) and not m.group(1).lower().startswith("annotation"):  # stands within a line
+            if (m.group(1) or "").lower() == "title":  # the others stand within a line
                 flush()
             continue
         if name in INLINE:
@@ -164,7 +168,16 @@ def _marked(attributes: str, inside: bool) -> bool:
     if not attributes:
         return False
     words = (x for a, b, c in _LABEL.findall(attributes) for x in (a or b or c).split())
-    return any(_MARKED.search(x) and not _STATE.fullmatch(x) and not (inside and _HEADING.fullmatch(x)) for x in words)
+    return any((_compound(x) if inside else _MARKED.search(x)) and not _STATE.fullmatch(x) and not (inside and _HEADING.fullmatch(x)) for x in words)
+
+
+def _compound(word: str) -> bool:
+    """Whether a class word is a mark, or marks with nothing but words that may stand beside them."""
+    if _MARK_WORD.fullmatch(word):
+        return True
+    parts = [x for x in re.split(r"[\s_-]+", word.lower()) if x and not x.isdigit()]
+    marks = [bool(_MARK_WORD.fullmatch(x)) for x in parts]
+    return any(marks) and all(mark or x in _BESIDE for mark, x in zip(marks, parts))
 
 
 def main_text(page: str | None) -> str:

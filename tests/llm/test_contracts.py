@@ -25,6 +25,21 @@ def test_pages_keep_their_text(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("part", ['section class="legal-analysis"', 'div class="social-history"', 'p class="search-algorithms"', 'div id="tags-in-git"', 'div class="comments-on-law"'])
+def test_topics_in_class_words_stay(part):
+    assert main_text(f"<body><article><p>One.</p><{part}>Two.</{part.split()[0]}><p>Three.</p></article></body>") == "One.\nTwo.\nThree."
+
+
+@pytest.mark.parametrize("word", ["share-buttons", "related-posts", "comment-list", "newsletter-signup", "ad", "ad-slot-3", "cookie-notice", "social", "side-bar"])
+def test_marks_in_an_article_go(word):
+    assert main_text(f'<body><article><p>One.</p><div class="x {word}">Two.</div><p>Three.</p></article></body>') == "One.\nThree."
+
+
+@pytest.mark.parametrize("inline", ["<svg/>", '<svg width="3"><text>x</text></svg>', "<script>y</script>", "<canvas></canvas>", "<!-- z -->"])
+def test_what_stands_in_a_line_does_not_break_it(inline):
+    assert main_text(f"<body><article><p>Before {inline} after.</p><p>Next.</p></article></body>") == "Before after.\nNext."
+
+
 def test_headline_of_an_article_stays():
     assert main_text(f'<body><div class="site-header">Menu</div><article><div class="article-header"><h1>Head line</h1></div>{PROSE}</article></body>') == f"Head line\n{TEXT}"
 
