@@ -97,7 +97,15 @@ def g18_local_level(feed: Feed) -> DataFrame:
     return s.withColumn("s", level).select("metric_name", "player_id", F.round("s.m", 4).alias("mean"), F.round("s.p", 8).alias("variance"))
 
 
-@query()
+_FORECAST = """points AS (SELECT metric_name, player_id, season, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY metric_name, player_id) AS n, value - lag(value) OVER w AS d
+  FROM feed_metric WINDOW w AS (PARTITION BY metric_name, player_id ORDER BY season)),
+noise AS (SELECT metric_name, player_id, greatest(0.0001, var_pop(d)) AS r, greatest(0.000001, greatest(0.0001, var_pop(d)) * 0.1) AS q FROM points WHERE n >= 5 GROUP BY 1, 2),
+level AS (SELECT p.metric_name, p.player_id, i, n, value AS m, r AS p, q, r FROM points p JOIN noise USING (metric_name, player_id) WHERE i = 1
+  UNION ALL SELECT p.metric_name, p.player_id, p.i, p.n, k.m + (k.p + k.q) / (k.p + k.q + k.r) * (p.value - k.m), (1 - (k.p + k.q) / (k.p + k.q + k.r)) * (k.p + k.q), k.q, k.r
+  FROM level k JOIN points p ON p.metric_name = k.metric_name AND p.player_id = k.player_id AND p.i = k.i + 1)"""
+
+
+@query(after(_FORECAST, "SELECT metric_name, player_id, h AS horizon, round(m, 4) AS mean, round(p + h * q, 2) AS variance FROM level, (VALUES (1), (2), (3)) v(h) WHERE i = n").replace("WITH ", "WITH RECURSIVE ", 1))
 def g20_forecasts(feed: Feed) -> DataFrame:
     s = T.noise_from_differences(feed.metric, ["metric_name", "player_id"], "season", "value")
     return T.forecasts(s, ["metric_name", "player_id"], [1, 2, 3], least=5).withColumns({"mean": F.round("mean", 4), "variance": F.round("variance", 2)})
@@ -116,6 +124,30 @@ def g25_g26_stability(feed: Feed) -> DataFrame:
     return g.select("metric_name", "n", F.round("r", 8).alias("r"), F.round(shrink, 8).alias("shrinkage"))
 
 
+@query(with_feed("""SELECT metric_name, season, count(*) AS n, round(corr(value, nv), 8) AS r, coalesce(corr(value, nv) >= 0.4, false) AS passed FROM (SELECT metric_name, season, value, lead(value) OVER w AS nv, lead(i) OVER w AS ni, i
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY metric_name ORDER BY season) AS i FROM feed_metric) WINDOW w AS (PARTITION BY metric_name, player_id ORDER BY i)) WHERE ni = i + 1 GROUP BY 1, 2"""))
+def g28_year_on_year(feed: Feed) -> DataFrame:
+    """Each metric's correlation with the season after, and whether it is 0.4 or more."""
+    pairs = J.consecutive(feed.metric, ["player_id"], "season", ["metric_name"], "value")
+    r = F.corr("value", "next_value")
+    return pairs.groupBy("metric_name", "season").agg(F.count("*").alias("n"), F.round(r, 8).alias("r"), F.coalesce(r >= 0.4, F.lit(False)).alias("passed"))
+
+
+#: Career vectors: the mean of each of the feed's metrics.
+_CAREER = ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
+
+
+@query(with_feed("""SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer_id) AS rank FROM (
+  SELECT q.player_id AS query_id, v.player_id AS peer_id, round(list_dot_product(q.x, v.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x))), 6) AS similarity FROM career q JOIN career v ON q.side = v.side AND q.player_id <> v.player_id WHERE q.player_id % 100 = 0)) WHERE rank <= 5""").replace(
+    " SELECT query_id", ", career AS (SELECT player_id, player_id % 2 AS side, list(coalesce(v, 0.0) ORDER BY metric_name) AS x FROM (SELECT p.player_id, m.metric_name, avg(f.value) AS v FROM (SELECT DISTINCT player_id FROM feed_metric) p CROSS JOIN (SELECT unnest(['A_F', 'A_O', 'N_F', 'N_O', 'R_F', 'R_O']) AS metric_name) m LEFT JOIN feed_metric f ON f.player_id = p.player_id AND f.metric_name = m.metric_name GROUP BY 1, 2) GROUP BY 1) SELECT query_id", 1
+).replace("SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number()", "SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number()", 1))
+def g33_career_cosine(feed: Feed) -> DataFrame:
+    """The five most alike of a player's group by career means, unweighted. Queries: the stated set of ids divisible by 100."""
+    wide = feed.metric.groupBy("player_id").pivot("metric_name", list(_CAREER)).agg(F.avg("value"))
+    career = wide.select("player_id", (F.col("player_id") % 2).alias("side"), F.array(*[F.coalesce(F.col(m), F.lit(0.0)) for m in _CAREER]).alias("x"))
+    return T.cosine_top(career, "player_id", "side", "x", career.filter("player_id % 100 = 0"), 5)
+
+
 @query(with_feed("SELECT metric_name, round(max(abs(fa - fb)), 8) AS statistic FROM (SELECT metric_name, value, sum(a) OVER w / CAST(sum(a) OVER p AS DOUBLE) AS fa, sum(b) OVER w / CAST(sum(b) OVER p AS DOUBLE) AS fb FROM (SELECT metric_name, value, count(*) FILTER (season = 1995) AS a, count(*) FILTER (season = 1996) AS b FROM feed_metric WHERE season IN (1995, 1996) GROUP BY 1, 2) WINDOW w AS (PARTITION BY metric_name ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY metric_name)) GROUP BY 1"))
 def g27_ks(feed: Feed) -> DataFrame:
     return T.ks_statistic(feed.metric, ["metric_name"], "season", "value", 1995, 1996).select("metric_name", F.round("statistic", 8).alias("statistic"))

@@ -199,9 +199,10 @@ def h_normal_equations(feed: Feed) -> DataFrame:
     return gaps.select("season", "target", "name", F.abs(F.round(F.col("gap") / 1000, 6)).alias("gap"))
 
 
-@query(_SEASON_SQL.replace("@@", f"SELECT DISTINCT season, target, CAST({len(G.ALPHAS)} AS BIGINT) AS alphas, CAST(1 AS BIGINT) AS chosen, true AS least, CAST(0 AS DOUBLE) AS gap FROM names JOIN targets USING (design)"))
+@query(_SEASON_SQL.replace("@@", f"SELECT DISTINCT season, target, CAST({len(G.ALPHAS)} AS BIGINT) AS alphas, CAST(1 AS BIGINT) AS chosen, true AS least, CAST(0 AS DOUBLE) AS gap FROM names JOIN targets USING (design) WHERE season IN (SELECT season FROM feed_games GROUP BY 1 HAVING count(*) > 1)"))
 def g6_alpha_path(feed: Feed) -> DataFrame:
-    """The held-out error of each penalty by one eigendecomposition; the chosen one's against errors of single rows."""
+    """The held-out error of each penalty by one eigendecomposition; the chosen one's against errors of single rows. A season
+    of one game has no games to train on."""
     rows = season_rows(feed)
     parts = stored(G.moments(rows, [*_SEASON, "is_train"]))
     path = G.holdout_path(parts, _SEASON, "is_train")
