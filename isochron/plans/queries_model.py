@@ -137,10 +137,14 @@ def g28_year_on_year(feed: Feed) -> DataFrame:
 _CAREER = ("A_F", "A_O", "N_F", "N_O", "R_F", "R_O")
 
 
-@query(with_feed("""SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer_id) AS rank FROM (
-  SELECT q.player_id AS query_id, v.player_id AS peer_id, round(list_dot_product(q.x, v.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x))), 6) AS similarity FROM career q JOIN career v ON q.side = v.side AND q.player_id <> v.player_id WHERE q.player_id % 100 = 0)) WHERE rank <= 5""").replace(
-    " SELECT query_id", ", career AS (SELECT player_id, player_id % 2 AS side, list(coalesce(v, 0.0) ORDER BY metric_name) AS x FROM (SELECT p.player_id, m.metric_name, avg(f.value) AS v FROM (SELECT DISTINCT player_id FROM feed_metric) p CROSS JOIN (SELECT unnest(['A_F', 'A_O', 'N_F', 'N_O', 'R_F', 'R_O']) AS metric_name) m LEFT JOIN feed_metric f ON f.player_id = p.player_id AND f.metric_name = m.metric_name GROUP BY 1, 2) GROUP BY 1) SELECT query_id", 1
-).replace("SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number()", "SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number()", 1))
+_CAREER_SQL = f"""names AS (SELECT unnest({list(_CAREER)}) AS metric_name), players AS (SELECT DISTINCT player_id FROM feed_metric),
+means AS (SELECT player_id, metric_name, coalesce(avg(f.value), 0.0) AS v FROM players CROSS JOIN names LEFT JOIN feed_metric f USING (player_id, metric_name) GROUP BY 1, 2),
+career AS (SELECT player_id, player_id % 2 AS side, list(v ORDER BY metric_name) AS x FROM means GROUP BY 1),
+alike AS (SELECT q.player_id AS query_id, v.player_id AS peer_id, round(list_dot_product(q.x, v.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x))), 6) AS similarity
+  FROM career q JOIN career v ON q.side = v.side AND q.player_id <> v.player_id WHERE q.player_id % 100 = 0)"""
+
+
+@query(after(_CAREER_SQL, "SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer_id) AS rank FROM alike) WHERE rank <= 5"))
 def g33_career_cosine(feed: Feed) -> DataFrame:
     """The five most alike of a player's group by career means, unweighted. Queries: the stated set of ids divisible by 100."""
     wide = feed.metric.groupBy("player_id").pivot("metric_name", list(_CAREER)).agg(F.avg("value"))
