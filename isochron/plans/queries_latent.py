@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isochron.operators import latent as L
 from isochron.operators import profile as O
+from isochron.operators import ranks as N
 from isochron.operators import series as T
 from isochron.plans.feed import Feed, with_feed
 from isochron.plans.registry import query
@@ -125,3 +126,42 @@ def k3_entity_skills(feed: Feed) -> DataFrame:
     features, _, codes = _model(feed)
     skills = L.entity_skills(codes, L.dimension_meta(codes, features, "season"), ["season", "player_id"], STABLE)
     return skills.filter("percentile BETWEEN 0 AND 1 AND size(top_features) > 0").select("season", "player_id", "dim_idx")
+
+
+#: Categories of the feed's metrics, and metrics of which less is better.
+CATEGORIES = {
+    "offense": ("A_F", "A_O"),
+    "defense": ("N_F",),
+    "transition": ("N_O", "A_O"),
+    "special_teams": ("R_F",),
+    "discipline": ("R_O", "N_F"),
+    "finishing": ("A_F",),
+    "play_driving": ("A_F", "N_O", "R_O"),
+}
+LOWER_IS_BETTER = ("N_F", "R_O")
+
+_LONG = """signals AS (SELECT m.season, m.metric_name, m.player_id, m.value, round(CASE WHEN m.season < (SELECT max(season) FROM feed_metric) THEN coalesce(smoothed_mean, m.value) ELSE coalesce(filtered_mean, m.value) END, 3) AS signal
+  FROM feed_metric m LEFT JOIN smoothed s USING (season, metric_name, player_id)),
+long AS (SELECT season, player_id, player_id % 2 AS side, 'actual' AS suffix, metric_name, value FROM signals UNION ALL SELECT season, player_id, player_id % 2, 'signal', metric_name, signal FROM signals)"""
+
+
+def _scores_sql() -> str:
+    pairs = ", ".join(f"('{c}', '{m}')" for c, own in CATEGORIES.items() for m in own)
+    lower = ", ".join(f"'{m}'" for m in LOWER_IS_BETTER)
+    return over_smoothed(f"""
+SELECT season, player_id, suffix, category, score, round(100 * (rank() OVER (PARTITION BY side, suffix, category ORDER BY score) + (count(*) OVER (PARTITION BY side, suffix, category, score) - 1) / 2.0) / count(*) OVER (PARTITION BY side, suffix, category), 6) AS percentile
+FROM (SELECT e.season, e.player_id, e.side, e.suffix, e.category, round(coalesce(avg(z), 0), 9) AS score FROM (SELECT DISTINCT season, player_id, side, suffix, category FROM long, pairs) e LEFT JOIN
+  (SELECT l.season, l.player_id, l.suffix, p.category, CASE WHEN s > 0 THEN CASE WHEN metric_name IN ({lower}) THEN -1 ELSE 1 END * (value - m) / s ELSE 0 END AS z FROM long l JOIN pairs p USING (metric_name)
+    JOIN (SELECT side, suffix, metric_name, avg(value) AS m, stddev_samp(value) AS s FROM long GROUP BY 1, 2, 3 HAVING count(value) >= 10) t USING (side, suffix, metric_name) WHERE value IS NOT NULL) v
+  USING (season, player_id, suffix, category) GROUP BY 1, 2, 3, 4, 5)""").replace("SELECT season, player_id, suffix, category, score, round(100", f", {_LONG}, pairs AS (SELECT * FROM (VALUES {pairs}) v(category, metric_name)) SELECT season, player_id, suffix, category, score, round(100", 1)
+
+
+@query(_scores_sql())
+def i12_category_scores(feed: Feed) -> DataFrame:
+    """Seven categories of observed values and of signals: mean z-score within the group, and its percentile there."""
+    keys = ["season", *_KEYS]
+    rows = feed.metric.select(*keys, "value").join(i10_signal(feed), keys)
+    two = F.explode(F.array(F.struct(F.lit("actual").alias("suffix"), F.col("value").alias("v")), F.struct(F.lit("signal").alias("suffix"), F.col("signal").alias("v")))).alias("x")
+    long = rows.select(*keys, (F.col("player_id") % 2).alias("side"), two).select("season", "player_id", "side", "x.suffix", "metric_name", F.col("x.v").alias("value"))
+    scores = N.category_scores(stored(long), ["season", "player_id"], "side", CATEGORIES, LOWER_IS_BETTER)
+    return scores.select("season", "player_id", "suffix", "category", "score", F.round("percentile", 6).alias("percentile"))
