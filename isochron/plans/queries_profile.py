@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isochron.operators import aggregates as A
 from isochron.operators import profile as O
 from isochron.operators import series as T
 from isochron.plans import stints as P
 from isochron.plans.feed import Feed, with_feed
 from isochron.plans.registry import query
 from isochron.plans.sql import LINEUPS, STINTS, after
+from isochron.sources.shared import stored
 
 _TIMES = """SELECT season, team_id, player_id, CAST(sum(end_seconds - start_seconds) AS BIGINT) AS toi_seconds
   FROM feed_shifts WHERE position <> 'G' GROUP BY 1, 2, 3"""
@@ -65,14 +67,26 @@ def j33_loss_trace(feed: Feed) -> DataFrame:
     return P.lineups(feed).groupBy("season").agg(F.count("*").alias("raw"), F.count_if((home > 0) & (away > 0)).alias("on_ice"), F.count_if((home == 5) & (away == 5)).alias("even"))
 
 
-@query("""SELECT CAST(coalesce(sum(greatest(d, 0)), 0) AS BIGINT) AS extra, CAST(coalesce(sum(greatest(-d, 0)), 0) AS BIGINT) AS missing, coalesce(sum(abs(d)), 0) = 0 AS passed FROM (
-  SELECT l_suppkey, n, sum(s) AS d FROM (SELECT l_suppkey, count(*) AS n, 1 AS s FROM lineitem GROUP BY 1
-  UNION ALL SELECT l_suppkey, sum(n), -1 FROM (SELECT l_suppkey, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1) GROUP BY 1, 2)""")
+@query("""
+WITH rows AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem), lost AS (SELECT l_orderkey, l_linenumber FROM rows WHERE l_orderkey % 3 = 0 ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 1),
+whole AS (SELECT l_suppkey, count(*) AS n FROM rows GROUP BY 1), less AS (SELECT l_suppkey, count(*) AS n FROM rows r WHERE NOT EXISTS (SELECT 1 FROM lost x WHERE x.l_orderkey = r.l_orderkey AND x.l_linenumber = r.l_linenumber) GROUP BY 1),
+found AS (SELECT (SELECT count(*) FROM (SELECT * FROM whole EXCEPT SELECT * FROM less)) AS extra, (SELECT count(*) FROM (SELECT * FROM less EXCEPT SELECT * FROM whole)) AS missing)
+SELECT 'all new rows' AS run, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS missing, count(*) > 0 AS passed FROM whole UNION ALL SELECT 'one lost', extra, missing, extra = 0 AND missing = 0 FROM found""")
 def j26_incremental_equals_full(feed: Feed) -> DataFrame:
-    """Counts made at once against those added up from parts that came one after the other."""
-    full = feed.table("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    parts = feed.table("lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.count("*").alias("n"))
-    return O.same_rows(full, parts.groupBy("l_suppkey").agg(F.sum("n").alias("n")))
+    """Counts of all rows against a stored table of the first orders' with the new rows' added; and again with one new row
+    lost, which must fail."""
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = feed.table("lineitem").select(*keys, "l_suppkey")
+    counts = lambda df: df.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    first = rows.filter("l_orderkey % 3 <> 0")
+    kept, new = stored(counts(first)), A.incremental(rows, first, keys)
+    lost = new.groupBy().agg(F.max(F.struct(*keys)).alias("_m")).select("_m.*")
+    out = None
+    for name, more in (("all new rows", new), ("one lost", new.join(F.broadcast(lost), keys, "left_anti"))):  # one row
+        both = kept.unionByName(counts(more)).groupBy("l_suppkey").agg(F.sum("n").alias("n"))
+        row = O.same_rows(counts(rows), both).select(F.lit(name).alias("run"), "extra", "missing", "passed")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 _STEPS = """p AS (SELECT metric_name, player_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY metric_name, player_id) AS n
