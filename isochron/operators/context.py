@@ -35,7 +35,7 @@ def context_flags(rows: DataFrame) -> DataFrame:
 
 def conditional_scores(flagged: DataFrame, least_seconds: float) -> DataFrame:
     """Time-weighted residuals under each flag, their spread and slope, for entities with enough time in a season; and
-    z-scores within the season."""
+    z-scores within the season. A slope asks for ten rows and for mates that aren't all rated alike, else it's 0."""
     time = F.col("duration_seconds")
 
     def mean(value: str, flag: str, sign: int = 1) -> Column:
@@ -49,7 +49,7 @@ def conditional_scores(flagged: DataFrame, least_seconds: float) -> DataFrame:
         mean("residual_for", "clutch").alias("clutch_for"), mean("residual_for", "mates_high").alias("psi_up"),
         mean("residual_for", "mates_low").alias("psi_floor"), mean("residual_against", "twoway_high").alias("twoway_up"),
         mean("residual_against", "twoway_low").alias("twoway_floor"),
-        F.when(F.count("residual_for") >= 10, F.coalesce(F.regr_slope("residual_for", "mate_off"), F.lit(0.0))).otherwise(0.0).alias("elasticity"),
+        F.when((F.count("residual_for") >= 10) & (F.min("mate_off") < F.max("mate_off")), F.coalesce(F.regr_slope("residual_for", "mate_off"), F.lit(0.0))).otherwise(0.0).alias("elasticity"),
     )
     out = out.filter(F.col("toi_seconds") >= least_seconds)
     out = out.withColumn("psi", F.col("psi_up") - F.col("psi_floor")).withColumn("psi_twoway", F.col("twoway_floor") - F.col("twoway_up"))

@@ -7,26 +7,74 @@ from pyspark.sql import functions as F
 
 from isochron.operators import context as C
 from isochron.operators import joins as J
-from isochron.plans.feed import Feed, with_feed
+from isochron.operators import surroundings as S
+from isochron.plans import stints as P
+from isochron.plans.feed import GAME_COLUMNS, Feed, with_feed
 from isochron.plans.registry import query
-from isochron.plans.sql import after
-
-#: Rows of context, one for each order line: a season's entities with time, surroundings and residuals.
-CONTEXT = """
-SELECT CAST(YEAR(l_shipdate) AS BIGINT) AS season, CAST(l_suppkey AS BIGINT) AS player_id, CAST(l_quantity AS DOUBLE) AS duration_seconds,
-  CAST(l_extendedprice AS DOUBLE) AS opponent_off, CAST(l_partkey % 997 AS DOUBLE) AS opponent_def, CAST(l_orderkey % 211 AS DOUBLE) AS mate_off,
-  CAST(l_partkey % 307 AS DOUBLE) AS mate_def, CAST(l_linenumber AS BIGINT) - 4 AS score_state, CAST(l_orderkey % 89 - 44 AS DOUBLE) AS residual_for,
-  CAST(l_partkey % 83 - 41 AS DOUBLE) AS residual_against
-FROM lineitem
+from isochron.plans.sql import STINTS, after
+from isochron.sources.shared import stored
+
+#: Metrics that stand for a rating, by how much time at 5v5 they ask for; ratings of the feed are on-ice rates, as SQL can't fit
+#: coefficients (see i4_rated_residuals for those). Defence: less against is higher.
+CHAIN = (("xg_off_5v5", "xg_def_5v5"), ("corsi_off_5v5", "corsi_def_5v5"))
+XG_SECONDS, CORSI_SECONDS = 900, 450
+
+_RATE = "floor(CAST({0} AS DOUBLE) * {1} / seconds / 1000) / 1000"
+
+RATED = (
+    STINTS
+    + f""",
+on_ice_sums AS (SELECT season, player_id, CAST(sum(duration) AS BIGINT) AS seconds, CAST(round(sum(CASE WHEN sign = 1 THEN home_xg ELSE away_xg END) * 1000000) AS BIGINT) AS xf,
+  CAST(round(sum(CASE WHEN sign = 1 THEN away_xg ELSE home_xg END) * 1000000) AS BIGINT) AS xa, 1000000 * sum(CASE WHEN sign = 1 THEN home_corsi ELSE away_corsi END)::BIGINT AS cf,
+  1000000 * sum(CASE WHEN sign = 1 THEN away_corsi ELSE home_corsi END)::BIGINT AS ca FROM members GROUP BY 1, 2),
+lookup AS (SELECT season, player_id, CASE WHEN seconds >= {XG_SECONDS} THEN {_RATE.format(3600, "xf")} WHEN seconds >= {CORSI_SECONDS} THEN {_RATE.format(60, "cf")} ELSE {_RATE.format(3600, "(xf - xa)")} END AS off,
+  CASE WHEN seconds >= {XG_SECONDS} THEN -{_RATE.format(3600, "xa")} WHEN seconds >= {CORSI_SECONDS} THEN -{_RATE.format(60, "ca")} ELSE {_RATE.format(3600, "(xf - xa)")} END AS def,
+  CASE WHEN seconds >= {XG_SECONDS} THEN 'xg_off_5v5' WHEN seconds >= {CORSI_SECONDS} THEN 'corsi_off_5v5' ELSE 'xg_net_5v5' END AS source FROM on_ice_sums)
 """
+)
 
-FLAGGED = f"""
-WITH context AS ({CONTEXT}),
+_AROUND_SQL = {
+    "mate_off": "(m.o - t.off) / nullif(m.n_o - 1, 0)", "mate_def": "(m.d - t.def) / nullif(m.n_d - 1, 0)",
+    "forward_mate_off": "(m.fo - CASE WHEN t.position = 'F' THEN t.off ELSE 0 END) / nullif(m.n_fo - CASE WHEN t.position = 'F' THEN 1 ELSE 0 END, 0)",
+    "defence_mate_def": "(m.dd - CASE WHEN t.position = 'D' THEN t.def ELSE 0 END) / nullif(m.n_dd - CASE WHEN t.position = 'D' THEN 1 ELSE 0 END, 0)",
+    "opponent_off": "r.o / nullif(r.n_o, 0)", "opponent_def": "r.d / nullif(r.n_d, 0)",
+}
+
+_AROUND_COLUMNS = ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in _AROUND_SQL)
+
+CONTEXT = (
+    RATED
+    + f""",
+rated_shifts AS (SELECT s.*, off, def, source FROM feed_shifts s LEFT JOIN lookup USING (season, player_id)),
+ticks AS (SELECT *, unnest(generate_series(CAST(ceil(start_seconds / 5.0) AS BIGINT) * 5, end_seconds - 1, 5)) AS tick FROM rated_shifts),
+tick_sums AS (SELECT game_id, period, tick, team_id, sum(off) AS o, count(off) AS n_o, sum(def) AS d, count(def) AS n_d, coalesce(sum(off) FILTER (position = 'F'), 0) AS fo, count(off) FILTER (position = 'F') AS n_fo,
+  coalesce(sum(def) FILTER (position = 'D'), 0) AS dd, count(def) FILTER (position = 'D') AS n_dd FROM ticks GROUP BY 1, 2, 3, 4),
+around AS (SELECT t.game_id, t.period, t.player_id, t.start_seconds, {", ".join(f"avg({x}) AS {c}" for c, x in _AROUND_SQL.items())} FROM (SELECT * FROM ticks WHERE off IS NOT NULL) t
+  JOIN tick_sums m ON m.game_id = t.game_id AND m.period = t.period AND m.tick = t.tick AND m.team_id = t.team_id
+  LEFT JOIN tick_sums r ON r.game_id = t.game_id AND r.period = t.period AND r.tick = t.tick AND r.team_id <> t.team_id GROUP BY 1, 2, 3, 4),
+totals AS (SELECT s.game_id, s.period, s.player_id, s.start_seconds, coalesce(sum(xg) FILTER (event_team_id = team_id), 0) AS xgf, coalesce(sum(xg) FILTER (event_team_id <> team_id), 0) AS xga,
+  count(*) FILTER (event_team_id = team_id) AS cf, count(*) FILTER (event_team_id <> team_id) AS ca FROM feed_shifts s LEFT JOIN feed_events e ON e.game_id = s.game_id AND e.period = s.period
+  AND period_seconds >= start_seconds AND period_seconds < end_seconds AND event_type IN ('SHOT', 'MISSED_SHOT', 'GOAL', 'BLOCKED_SHOT') GROUP BY 1, 2, 3, 4),
+starts AS (SELECT s.game_id, s.period, s.player_id, s.start_seconds, max_by(CASE WHEN team_id = home_team_id THEN home_score - away_score ELSE away_score - home_score END, (period_seconds, event_id)) AS score_state,
+  coalesce(max_by(zone_code, event_id) FILTER (event_type = 'FACEOFF' AND period_seconds = start_seconds), 'F') AS zone_start
+  FROM feed_shifts s LEFT JOIN lineups l ON l.game_id = s.game_id AND l.period = s.period AND period_seconds <= start_seconds GROUP BY 1, 2, 3, 4),
+context AS (SELECT season, game_id, team_id, period, player_id, position, start_seconds, CAST(end_seconds - start_seconds AS DOUBLE) AS duration_seconds, source, zone_start, CAST(score_state AS BIGINT) AS score_state,
+  round(xgf, 6) AS xgf, round(xga, 6) AS xga, cf, ca, {_AROUND_COLUMNS},
+  round(xgf - (coalesce(off, 0) + coalesce(mate_off, 0) + coalesce(opponent_def, 0)), 6) AS residual_for, round(xga - (coalesce(def, 0) + coalesce(mate_def, 0) + coalesce(opponent_off, 0)), 6) AS residual_against
+  FROM rated_shifts JOIN totals USING (game_id, period, player_id, start_seconds) JOIN starts USING (game_id, period, player_id, start_seconds) LEFT JOIN around USING (game_id, period, player_id, start_seconds)
+  WHERE end_seconds - start_seconds >= 30)
+"""
+)
+
+FLAGGED = (
+    CONTEXT
+    + """,
 marks AS (SELECT season, quantile_cont(opponent_off, 0.8) AS off_high, quantile_cont(opponent_def, 0.2) AS def_low, quantile_cont(mate_off, 0.75) AS mate_high,
   quantile_cont(mate_off, 0.25) AS mate_low, quantile_cont(mate_def, 0.75) AS way_high, quantile_cont(mate_def, 0.25) AS way_low FROM context GROUP BY season),
 flagged AS (SELECT c.*, opponent_off >= off_high AS shutdown, opponent_def <= def_low AS breaker, mate_off >= mate_high AS mates_high, mate_off <= mate_low AS mates_low,
   mate_def >= way_high AS twoway_high, mate_def <= way_low AS twoway_low, abs(score_state) <= 1 AS clutch FROM context c JOIN marks USING (season) WHERE duration_seconds > 0)
 """
+)
 
 SCORED = (
     FLAGGED
@@ -41,37 +89,87 @@ raw AS (SELECT season, player_id, count(*) AS shifts, sum(duration_seconds) AS t
     - coalesce(sum(residual_for * duration_seconds) FILTER (mates_low) / sum(duration_seconds) FILTER (mates_low), 0) AS psi,
   coalesce(sum(residual_against * duration_seconds) FILTER (twoway_low) / sum(duration_seconds) FILTER (twoway_low), 0)
     - coalesce(sum(residual_against * duration_seconds) FILTER (twoway_high) / sum(duration_seconds) FILTER (twoway_high), 0) AS psi_twoway,
-  CASE WHEN count(residual_for) >= 10 THEN coalesce(regr_slope(residual_for, mate_off), 0) ELSE 0 END AS elasticity
+  CASE WHEN count(residual_for) >= 10 AND min(mate_off) < max(mate_off) THEN coalesce(regr_slope(residual_for, mate_off), 0) ELSE 0 END AS elasticity
   FROM flagged GROUP BY season, player_id HAVING sum(duration_seconds) >= 600),
 scored AS (SELECT *, """
     + ", ".join(f"coalesce(({c} - avg({c}) OVER s) / nullif(stddev_samp({c}) OVER s, 0), 0) AS {c}_z" for c in C.SCORES)
     + " FROM raw WINDOW s AS (PARTITION BY season))"
 )
 
+#: Means of values of six decimals often lie halfway between two results, where the order of a sum would decide; this moves the
+#: edges of rounding to where no mean of few rows lies.
+STEADY = 1.6180339e-7
+
 _VALUES = ("shutdown", "consistency", "breaker", "clutch_against", "clutch_for", "psi", "psi_twoway", "elasticity", *(f"{c}_z" for c in C.SCORES))
 
 
+def on_ice_ratings(feed: Feed) -> DataFrame:
+    """season, player_id, metric_name, value: rates at 5v5 in whole thousandths, of those with enough time for a metric."""
+    s = P.stints(P.filter_strength(P.lineups(feed), "5v5"))
+    own, other = (lambda x: F.when(F.col("sign") == 1, F.col(f"home_{x}")).otherwise(F.col(f"away_{x}"))), (lambda x: F.when(F.col("sign") == 1, F.col(f"away_{x}")).otherwise(F.col(f"home_{x}")))
+    micro = lambda x: F.round(F.sum(x) * 1000000).cast("long")
+    sums = P.player_stints(s).groupBy("season", "player_id").agg(F.sum("duration").alias("seconds"), micro(own("xg")).alias("xf"), micro(other("xg")).alias("xa"), micro(own("corsi")).alias("cf"), micro(other("corsi")).alias("ca"))
+    rate = lambda x, per: F.floor(F.lit(float(per)) * x / F.col("seconds") / 1000).cast("double") / 1000
+    metrics = {"xg_off_5v5": (rate(F.col("xf"), 3600), XG_SECONDS), "xg_def_5v5": (-rate(F.col("xa"), 3600), XG_SECONDS), "corsi_off_5v5": (rate(F.col("cf"), 60), CORSI_SECONDS), "corsi_def_5v5": (-rate(F.col("ca"), 60), CORSI_SECONDS), "xg_net_5v5": (rate(F.col("xf") - F.col("xa"), 3600), 0)}
+    long = F.array(*[F.struct(F.lit(name).alias("metric_name"), F.when(F.col("seconds") >= least, value).alias("value")) for name, (value, least) in metrics.items()])
+    return sums.select("season", "player_id", F.explode(long).alias("m")).select("season", "player_id", "m.*").filter("value IS NOT NULL")
+
+
+def _lookup(feed: Feed) -> DataFrame:
+    return S.rating_lookup(on_ice_ratings(feed), ["season", "player_id"], CHAIN, "xg_net")
+
+
+def shift_context(feed: Feed, lookup: DataFrame) -> DataFrame:
+    """The feed's shifts with their surroundings and residuals by the ratings of `lookup`, to six decimals."""
+    events = feed.events.withColumns({name: F.expr(x) for name, x in GAME_COLUMNS.items()})
+    rows = S.shift_context(feed.shifts, P.running_score(events), feed.events.filter(F.col("event_type").isin(*P.SHOTS)), lookup)
+    rounded = [F.round(c, 6).alias(c) for c in ("xgf", "xga")], [F.round(c, 6).alias(c) for c in (*S.AROUND, "residual_for", "residual_against")]
+    return rows.select("season", "game_id", "team_id", "period", "player_id", "position", "start_seconds", (F.col("end_seconds") - F.col("start_seconds")).cast("double").alias("duration_seconds"), "source", "zone_start", F.col("score_state").cast("long").alias("score_state"), *rounded[0], "cf", "ca", *rounded[1])
+
+
 def _context(feed: Feed) -> DataFrame:
-    return feed._sql(CONTEXT, lineitem=feed.table("lineitem"))
+    """Read twice, for thresholds and rows, so it's stored."""
+    return stored(shift_context(feed, _lookup(feed)))
 
 
 def _scored(feed: Feed) -> DataFrame:
     return C.conditional_scores(C.context_flags(_context(feed)), 600)
 
 
-@query(FLAGGED + "SELECT season, count(*) AS n, " + ", ".join(f"count(*) FILTER ({x}) AS {x}" for x in ("shutdown", "breaker", "clutch", "mates_high", "mates_low", "twoway_high", "twoway_low")) + " FROM flagged GROUP BY season")
+@query(after(RATED, "SELECT season, player_id, off, def, source FROM lookup"))
+def i2_rating_lookup(feed: Feed) -> DataFrame:
+    return _lookup(feed)
+
+
+@query(after(CONTEXT, "SELECT * FROM context"))
+def i4_shift_residuals(feed: Feed) -> DataFrame:
+    """Start, totals, surroundings and residuals of each shift of the feed."""
+    return shift_context(feed, _lookup(feed))
+
+
+@query()
+def i4_rated_residuals(feed: Feed) -> DataFrame:
+    """The same by fitted ratings: xG of both sides, else attempts, else any net rating. No SQL, as coefficients have none."""
+    from isochron.plans.queries_ratings import season_ratings
+
+    ratings = season_ratings(feed, {"net": {"xg_rapm_5v5": "xg"}, "sides+": {"corsi_{}_rapm_5v5": "corsi"}, "sides": {"xg_{}_rapm_5v5": "xg"}})
+    chain = [(f"{x}_off_rapm_5v5", f"{x}_def_rapm_5v5") for x in ("xg", "corsi")]
+    return shift_context(feed, S.rating_lookup(ratings, ["season", "player_id"], chain, "rapm"))
+
+
+@query(after(FLAGGED, "SELECT season, count(*) AS n, " + ", ".join(f"count(*) FILTER ({x}) AS {x}" for x in ("shutdown", "breaker", "clutch", "mates_high", "mates_low", "twoway_high", "twoway_low")) + " FROM flagged GROUP BY season"))
 def i5_i6_shift_flags(feed: Feed) -> DataFrame:
     names = ("shutdown", "breaker", "clutch", "mates_high", "mates_low", "twoway_high", "twoway_low")
     return C.context_flags(_context(feed)).groupBy("season").agg(F.count("*").alias("n"), *[F.count_if(x).alias(x) for x in names])
 
 
-@query(SCORED + "SELECT season, player_id, shifts, toi_seconds, n_shutdown, " + ", ".join(f"round({c}, 7) AS {c}" for c in _VALUES) + " FROM scored")
+@query(after(SCORED, "SELECT season, player_id, shifts, toi_seconds, n_shutdown, " + ", ".join(f"round({c} + {STEADY}, 6) AS {c}" for c in _VALUES) + " FROM scored"))
 def i7_i8_i9_conditional_scores(feed: Feed) -> DataFrame:
-    return _scored(feed).select("season", "player_id", "shifts", "toi_seconds", "n_shutdown", *[F.round(c, 7).alias(c) for c in _VALUES])
+    return _scored(feed).select("season", "player_id", "shifts", "toi_seconds", "n_shutdown", *[F.round(F.col(c) + STEADY, 6).alias(c) for c in _VALUES])
 
 
-@query(SCORED + """SELECT season, player_id, round(psi_z, 5) AS psi_z, place FROM (SELECT *, row_number() OVER (ORDER BY psi_z DESC, player_id) AS place
-  FROM scored WHERE season = (SELECT max(season) FROM scored)) WHERE place <= 10""")
+@query(after(SCORED, """SELECT season, player_id, round(psi_z, 5) AS psi_z, place FROM (SELECT *, row_number() OVER (ORDER BY psi_z DESC, player_id) AS place
+  FROM scored WHERE season = (SELECT max(season) FROM scored)) WHERE place <= 10"""))
 def k10_conditional_leaderboard(feed: Feed) -> DataFrame:
     """The ten best of the latest season: a top-k report."""
     scored = _scored(feed)

@@ -139,6 +139,12 @@ def _named(fitted: DataFrame) -> DataFrame:
 _SEASON = ["season", "design"]
 
 
+def season_ratings(feed: Feed, metrics: dict[str, dict[str, str]] = METRICS) -> DataFrame:
+    """season, metric_name, player_id, value of each season's fits, each at its own chosen penalty."""
+    fitted = _named(season_fits(season_rows(feed, metrics)))
+    return fitted.select("season", "metric_name", "player_id", "value")
+
+
 def season_fits(rows: DataFrame) -> DataFrame:
     return G.fit_by_holdout(G.moments(rows, [*_SEASON, "is_train"]), _SEASON, "is_train")
 
