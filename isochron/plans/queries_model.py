@@ -147,9 +147,13 @@ alike AS (SELECT q.player_id AS query_id, v.player_id AS peer_id, round(list_dot
 @query(after(_CAREER_SQL, "SELECT query_id, peer_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer_id) AS rank FROM alike) WHERE rank <= 5"))
 def g33_career_cosine(feed: Feed) -> DataFrame:
     """The five most alike of a player's group by career means, unweighted. Queries: the stated set of ids divisible by 100."""
+    return career_peers(feed, 5)
+
+
+def career_peers(feed: Feed, top: int) -> DataFrame:
     wide = feed.metric.groupBy("player_id").pivot("metric_name", list(_CAREER)).agg(F.avg("value"))
     career = wide.select("player_id", (F.col("player_id") % 2).alias("side"), F.array(*[F.coalesce(F.col(m), F.lit(0.0)) for m in _CAREER]).alias("x"))
-    return T.cosine_top(career, "player_id", "side", "x", career.filter("player_id % 100 = 0"), 5)
+    return T.cosine_top(career, "player_id", "side", "x", career.filter("player_id % 100 = 0"), top)
 
 
 @query(with_feed("SELECT metric_name, round(max(abs(fa - fb)), 8) AS statistic FROM (SELECT metric_name, value, sum(a) OVER w / CAST(sum(a) OVER p AS DOUBLE) AS fa, sum(b) OVER w / CAST(sum(b) OVER p AS DOUBLE) AS fb FROM (SELECT metric_name, value, count(*) FILTER (season = 1995) AS a, count(*) FILTER (season = 1996) AS b FROM feed_metric WHERE season IN (1995, 1996) GROUP BY 1, 2) WINDOW w AS (PARTITION BY metric_name ORDER BY value ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY metric_name)) GROUP BY 1"))

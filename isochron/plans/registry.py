@@ -25,8 +25,13 @@ def query(sql: str | None = None):
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already, for SQL that goes on from its rows."""
+    return _SQL[name]
+
+
 def _load() -> None:
-    from isochron.plans import queries_basic, queries_context, queries_feed, queries_gates, queries_latent, queries_model, queries_profile, queries_ratings  # noqa: F401  they register
+    from isochron.plans import queries_basic, queries_cards, queries_context, queries_feed, queries_gates, queries_latent, queries_model, queries_profile, queries_ratings  # noqa: F401  they register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
