@@ -66,3 +66,25 @@ def head_count(rows: DataFrame, keys: Sequence[str], home: Column, away: Column,
     right = (F.size(F.array_distinct(home)) == each) & (F.size(F.array_distinct(away)) == each) & (F.size(F.array_intersect(home, away)) == 0)
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~right).alias("_bad"))
     return out.select(*keys, "n", (F.col("_bad") == 0).alias("passed"), F.when(F.col("_bad") > 0, F.concat(F.col("_bad").cast("string"), F.lit(" rows"))).alias("reason"))
+
+
+def spot_checks(rated: DataFrame, context: DataFrame, scores: DataFrame, mean: float = 0.5, spread: tuple[float, float] = (0.3, 5.0), least_r: float = 0.6, reliable: int = 50, share: float = 0.1) -> DataFrame:
+    """check, value, passed before a long run. Of `rated` (value, other): mean near 0, deviation within `spread`, quantiles in
+    order, correlation of the two. Of `context` (zone_start, score_state): the share of each zone, which must all occur, and of level and close
+    scores. Of `scores` (shifts): the share of rows with `reliable` shifts. What an empty table can't tell has failed."""
+    low, middle, high = (F.percentile("value", F.lit(q)) for q in (0.05, 0.5, 0.95))
+    of = lambda test: F.try_divide(F.count_if(test).cast("double"), F.count("*"))
+    zones = [of(F.col("zone_start") == z).alias(f"zone {z}") for z in ("O", "D", "N")]
+    tables = (
+        rated.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"), low.alias("p05"), middle.alias("p50"), high.alias("p95"), F.corr("value", "other").alias("correlation")),
+        context.agg(*zones, of(F.col("score_state") == 0).alias("score level"), of(F.abs("score_state") == 1).alias("score by one")),
+        scores.agg(of(F.col("shifts") >= reliable).alias("reliable")),
+    )
+    rows = None
+    for table in tables:
+        own = table.unpivot([], table.columns, "check", "value")
+        rows = own if rows is None else rows.unionByName(own)
+    name, value = F.col("check"), F.col("value")
+    passed = F.when(name == "mean", F.abs(value) <= mean).when(name == "deviation", (value > spread[0]) & (value < spread[1])).when(name == "correlation", value >= least_r)
+    passed = passed.when(name == "reliable", value >= share).when(name.startswith("p"), value.isNotNull()).otherwise(value > 0)
+    return rows.withColumn("passed", F.coalesce(passed, F.lit(False)))

@@ -60,3 +60,17 @@ def same_rows(one: DataFrame, other: DataFrame) -> DataFrame:
     left = sides.groupBy(*one.columns).agg(F.sum("_by").alias("_by"))
     extra, missing = (F.coalesce(F.sum(F.greatest(sign * F.col("_by"), F.lit(0))), F.lit(0)) for sign in (1, -1))
     return left.agg(extra.alias("extra"), missing.alias("missing")).withColumn("passed", F.expr("extra = 0 AND missing = 0"))
+
+
+def mate_impact(stints: DataFrame, ratings: DataFrame, least_stint: int = 60, least_together: int = 600, margin: float = 0.05, steady: float = 0.0) -> DataFrame:
+    """season, player_id, mates, boosted, hurt, avg_impact of rows (season, player_id, mates, duration, value): for each mate with
+    enough time together in stints that last, the mean value together less the mate's own rating (season, player_id, off; 0 without one); how
+    many lie above and below the margin, and the mean. Pairs come from lineups, so each stint has a few. `steady` is added before six decimals
+    are kept, where sums of short decimals could lie on an edge."""
+    rows = stints.filter(F.col("duration") >= least_stint).withColumn("mate_id", F.explode("mates")).filter("mate_id <> player_id")
+    pairs = rows.groupBy("season", "player_id", "mate_id").agg(F.avg("value").alias("together"), F.sum("duration").alias("seconds")).filter(F.col("seconds") >= least_together)
+    own = ratings.select("season", F.col("player_id").alias("mate_id"), "off")
+    impact = F.round(F.col("together") - F.coalesce("off", F.lit(0.0)) + steady, 6)
+    return pairs.join(own, ["season", "mate_id"], "left").withColumn("_i", impact).groupBy("season", "player_id").agg(
+        F.count("*").alias("mates"), F.count_if(F.col("_i") > margin).alias("boosted"), F.count_if(F.col("_i") < -margin).alias("hurt"), F.avg("_i").alias("avg_impact")
+    )

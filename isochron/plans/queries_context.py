@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochron.operators import context as C
+from isochron.operators import gates as G
 from isochron.operators import joins as J
+from isochron.operators import profile as O
 from isochron.operators import surroundings as S
 from isochron.plans import stints as P
 from isochron.plans.feed import GAME_COLUMNS, Feed, with_feed
@@ -271,3 +273,41 @@ def j34_triage(feed: Feed) -> DataFrame:
     checks = feed.table("events").groupBy("event_type").agg(F.count_if(F.col("value") < 10).alias("failures"))
     severity = F.when(F.col("event_type").isin("error", "purchase"), "critical").when(F.col("event_type") == "signup", "warning").otherwise("info")
     return checks.groupBy(severity.alias("severity")).agg(F.count("*").alias("checks"), F.sum("failures").alias("failures"))
+
+
+@query(after(RATED, f"""SELECT season, player_id, count(*) AS mates, count(*) FILTER (impact > 0.05) AS boosted, count(*) FILTER (impact < -0.05) AS hurt, round(avg(impact) + {STEADY}, 6) AS avg_impact
+  FROM (SELECT p.season, p.player_id, round(together - coalesce(off, 0) + {STEADY}, 6) AS impact FROM (SELECT season, player_id, mate_id, avg(net) AS together FROM (SELECT season, player_id, duration, CAST(3600 AS DOUBLE) * CASE WHEN sign = 1 THEN home_xg ELSE away_xg END / duration AS net,
+    unnest(CASE WHEN sign = 1 THEN home_skaters ELSE away_skaters END) AS mate_id FROM members WHERE duration >= 30) WHERE mate_id <> player_id GROUP BY 1, 2, 3 HAVING sum(duration) >= 300) p
+  LEFT JOIN lookup l ON l.season = p.season AND l.player_id = p.mate_id AND source = 'xg_off_5v5') GROUP BY 1, 2"""))
+def i22_teammate_impact(feed: Feed) -> DataFrame:
+    """How many mates have more or less xG an hour beside a player than they have in all (stints of 30 seconds, 300 seconds together);
+    mates without that rating count from 0. The feed's shifts last 50 seconds, so the bounds are half of the operator's."""
+    m = P.player_stints(P.stints(P.filter_strength(P.lineups(feed), "5v5")))
+    mates = F.when(F.col("sign") == 1, F.col("home_skaters")).otherwise(F.col("away_skaters"))
+    rows = m.select("season", "player_id", "duration", mates.alias("mates"), (3600.0 * F.when(F.col("sign") == 1, F.col("home_xg")).otherwise(F.col("away_xg")) / F.col("duration")).alias("value"))
+    return O.mate_impact(rows, _lookup(feed).filter(F.col("source") == CHAIN[0][0]), 30, 300, steady=STEADY).withColumn("avg_impact", F.round(F.col("avg_impact") + STEADY, 6))
+
+
+def _checks_sql() -> str:
+    rated = {"mean": "avg(value)", "deviation": "stddev_samp(value)", "p05": "quantile_cont(value, 0.05)", "p50": "quantile_cont(value, 0.5)", "p95": "quantile_cont(value, 0.95)", "correlation": "corr(value, other)"}
+    passed = {"mean": "abs(value) <= 0.5", "deviation": "value > 0.3 AND value < 5", "correlation": "value >= 0.6", "reliable": "value >= 0.1"}
+    parts = [f"SELECT '{name}' AS \"check\", {x} AS value FROM rated" for name, x in rated.items()]
+    shares = {**{f"zone {z}": f"zone_start = '{z}'" for z in "ODN"}, "score level": "score_state = 0", "score by one": "abs(score_state) = 1"}
+    parts += [f"SELECT '{name}', count(*) FILTER ({test}) / CAST(count(*) AS DOUBLE) FROM context" for name, test in shares.items()]
+    parts.append("SELECT 'reliable', count(*) FILTER (shifts >= 50) / CAST(count(*) AS DOUBLE) FROM scored WHERE season = (SELECT max(season) FROM scored)")
+    tests = " ".join(f"WHEN '{name}' THEN {test}" for name, test in passed.items())
+    return after(f"""{SCORED}, rated AS (SELECT {_RATE.format(60, "cf")} - {_RATE.format(60, "ca")} AS value, {_RATE.format(3600, "xf")} - {_RATE.format(3600, "xa")} AS other FROM on_ice_sums
+  WHERE seconds >= {XG_SECONDS} AND season = (SELECT max(season) FROM on_ice_sums)), checks AS ({" UNION ALL ".join(parts)})""",
+        f"SELECT \"check\", round(value + {STEADY}, 6) AS value, coalesce(CASE \"check\" {tests} WHEN 'p05' THEN value IS NOT NULL WHEN 'p50' THEN value IS NOT NULL WHEN 'p95' THEN value IS NOT NULL ELSE value > 0 END, false) AS passed FROM checks")
+
+
+@query(_checks_sql())
+def j24_spot_checks(feed: Feed) -> DataFrame:
+    """Of the latest season's net rates of attempts and xG, of the context of all shifts, and of conditional scores."""
+    ratings = on_ice_ratings(feed)
+    pairs = ratings.groupBy("season", "player_id").pivot("metric_name", [x for pair in CHAIN for x in pair]).agg(F.first("value")).dropna()
+    pairs = stored(pairs.select("season", (F.col("corsi_off_5v5") + F.col("corsi_def_5v5")).alias("value"), (F.col("xg_off_5v5") + F.col("xg_def_5v5")).alias("other")))
+    context = stored(shift_context(feed, S.rating_lookup(ratings, ["season", "player_id"], CHAIN, "xg_net")))
+    scores = stored(C.conditional_scores(C.context_flags(context), 600).select("season", "shifts"))
+    late = lambda df: df.join(F.broadcast(df.agg(F.max("season").alias("season"))), "season")  # noqa: E731  one row
+    return G.spot_checks(late(pairs), context, late(scores)).withColumn("value", F.round(F.col("value") + STEADY, 6))

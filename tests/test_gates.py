@@ -108,3 +108,19 @@ def test_windows_close_by_the_watermark(spark, tmp_path):
     stream = feeds.arrivals(spark, f"{tmp_path}/in", spark.createDataFrame([], SCHEMA).schema).withColumn("v", F.lit(1.0))
     out = feeds.to_completion(feeds.windows(stream, "ts", ["game_id"], "v", "20 minutes"), "closed", "append")
     assert sorted((r.game_id, r.start.minute + 60 * r.start.hour, r.n) for r in out.collect()) == [(g, m, 10) for g in (0, 1) for m in (0, 20, 40)]
+
+
+def test_spot_checks_tell_good_from_bad(spark):
+    from isochron.operators import gates as G
+
+    values = [-2.0, -1.0, 0.0, 1.0, 2.0]
+    rated = spark.createDataFrame([(v, 2 * v + (i % 2)) for i, v in enumerate(values)], "value double, other double")
+    context = spark.createDataFrame([("O", 0), ("D", 1), ("N", -1), ("F", None)], "zone_start string, score_state long")
+    scores = spark.createDataFrame([(50,), (10,)], "shifts long")
+    good = {r.check: (r.value, r.passed) for r in G.spot_checks(rated, context, scores).collect()}
+    assert len(good) == 12 and all(passed for _, passed in good.values())
+    assert good["mean"][0] == 0 and good["p50"][0] == 0 and good["zone O"][0] == 0.25 and good["score by one"][0] == 0.5 and good["reliable"][0] == 0.5
+    shifted = rated.selectExpr("value + 1 AS value", "-other AS other")
+    bad = {r.check: r.passed for r in G.spot_checks(shifted, context.filter("zone_start <> 'N' AND score_state <> 0"), scores.filter("shifts < 50")).collect()}
+    assert {c for c, passed in bad.items() if not passed} == {"mean", "correlation", "zone O", "zone N", "score level", "reliable"}
+    assert not any(r.passed for r in G.spot_checks(rated.limit(0), context.limit(0), scores.limit(0)).collect())

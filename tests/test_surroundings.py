@@ -105,3 +105,15 @@ def test_a_tick_needs_no_shuffle_of_its_own(spark):
     df = spark.createDataFrame(shifts, SHIFT).withColumns({"off": F.lit(1.0), "def": F.lit(1.0)})
     plan = S.surroundings(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_mates_that_do_better_and_worse(spark):
+    from isochron.operators import profile as O
+
+    rows = [("a", 1, [1, 2, 3, 4], 400, 1.0), ("a", 1, [1, 2], 300, 0.4), ("a", 1, [1, 4], 59, 50.0), ("a", 5, [5], 900, 1.0), (None, 6, None, 900, 1.0)]
+    stints = spark.createDataFrame(rows, "season string, player_id long, mates array<long>, duration long, value double")
+    ratings = spark.createDataFrame([("a", 2, 0.5), ("a", 3, 2.0), ("b", 4, 9.0)], "season string, player_id long, off double")
+    got = [tuple(r) for r in O.mate_impact(stints, ratings, 60, 400).collect()]
+    assert got == [("a", 1, 3, 2, 1, pytest.approx((0.2 - 1.0 + 1.0) / 3))]
+    assert O.mate_impact(stints, ratings).collect()[0].mates == 1
+    assert O.mate_impact(stints.limit(0), ratings).collect() == []
