@@ -170,14 +170,14 @@ def i7_i8_i9_conditional_scores(feed: Feed) -> DataFrame:
     return _scored(feed).select("season", "player_id", "shifts", "toi_seconds", "n_shutdown", *[F.round(F.col(c) + STEADY, 6).alias(c) for c in _VALUES])
 
 
-@query(after(SCORED, """SELECT season, player_id, round(psi_z, 5) AS psi_z, place FROM (SELECT *, row_number() OVER (ORDER BY psi_z DESC, player_id) AS place
+@query(after(SCORED, """SELECT season, player_id, round(psi_z, 5) AS psi_z, place FROM (SELECT *, row_number() OVER (ORDER BY round(psi_z, 5) DESC, player_id) AS place
   FROM scored WHERE season = (SELECT max(season) FROM scored)) WHERE place <= 10"""))
 def k10_conditional_leaderboard(feed: Feed) -> DataFrame:
-    """The ten best of the latest season: a top-k report."""
-    scored = _scored(feed)
+    """The ten best of the latest season by five decimals, then by number: a top-k report."""
+    scored = _scored(feed).select("season", "player_id", F.round("psi_z", 5).alias("psi_z"))
     latest = scored.agg(F.max("season").alias("season"))
     best = scored.join(F.broadcast(latest), "season").orderBy(F.desc("psi_z"), "player_id").limit(10)  # one row is broadcast
-    return best.select("season", "player_id", F.round("psi_z", 5).alias("psi_z"), F.row_number().over(Window.orderBy(F.desc("psi_z"), "player_id")).alias("place"))
+    return best.select("season", "player_id", "psi_z", F.row_number().over(Window.orderBy(F.desc("psi_z"), "player_id")).alias("place"))
 
 
 _PAIRS = """pairs AS (SELECT a.player_id AS one, b.player_id AS two, CAST(sum(least(a.end_seconds, b.end_seconds) - greatest(a.start_seconds, b.start_seconds)) AS BIGINT) AS toi_seconds
