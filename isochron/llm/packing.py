@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm.store import written
-from isochron.llm.tokens import SLICE, encoder, owner
+from isochron.llm.tokens import encoder, owner
 from isochron.llm.words import slices
 
+#: As in tokens.py, but smaller: in the pipeline, packing's workers run beside a JVM whose heap earlier stages filled.
+CACHE, SLICE = 100_000, 1 << 20
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,8 +37,8 @@ def cut(docs: DataFrame, path: str, end_id: int, size: int, drops_space: bool =
     """A row for each piece of each document, with the crc32 of its ids."""
 
     def encode(batches):
-        own = encoder(path, drops_space)
-        for batch in slices(batches, most=SLICE, owner=owner(path, drops_space)):
+        own = encoder(path, drops_space, CACHE)
+        for batch in slices(batches, most=SLICE, owner=owner(path, drops_space, CACHE)):
             ids, starts = own.encode(batch.column("text"), end_id)
             n = np.diff(starts)
             pieces = -(-n // size)

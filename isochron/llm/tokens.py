@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -22,6 +23,18 @@ _MARK = np.zeros(256, bool)
 _MARK[0x21:0x7F] = True
 _MARK &= ~_LETTER
 _MARK[0x30:0x3A] = False
+_LATIN = np.zeros(256, bool)  # after 0xC3
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+#: Stretches that are one word to the pre-tokenizers: none of their patterns cuts these.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+#: The characters by which byte-level models name bytes; a new line stays.
+_BYTES = np.arange(256, dtype="<u2")
+_UNSHOWN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTES[_UNSHOWN] = 256 + np.arange(len(_UNSHOWN))
+_BYTES[0x0A] = 0x0A
 
 
 def _special(data: np.ndarray) -> bool:
@@ -32,10 +45,11 @@ def _special(data: np.ndarray) -> bool:
 def _parts(data: np.ndarray, places: np.ndarray, drops_space: bool) -> tuple[pa.Array, np.ndarray]:
     """Stretches of text that encode alone as they do in the whole text, and where each row's begin.
 
-    Pre-tokenizers of this kind never join an ASCII letter with an ASCII mark after it, nor a character with
-    white space after it, so the text is cut there: before white space that follows a printable ASCII character
-    or a Latin-1 letter, or around white space where the tokenizer drops it anyway. Special tokens' names hold
-    marks and letters; where one may stand, only white space cuts.
+    Pre-tokenizers of this kind never join an ASCII or Latin-1 letter with an ASCII mark after it, nor a character
+    with white space after it, so the text is cut there: before white space that follows a printable ASCII character
+    or a Latin-1 letter, or around white space where the tokenizer drops it anyway. A single white space other than
+    a blank isn't joined with what is shown after it either. Special tokens' names hold marks and letters; where one
+    may stand, only white space cuts.
     """
     n = len(data)
     if drops_space:
@@ -51,8 +65,12 @@ def _parts(data: np.ndarray, places: np.ndarray, drops_space: bool) -> tuple[pa.
         before[1:n] |= SPACE[this] & safe
         if drops_space:
             before[1:n] |= SPACE[last]
+        else:
+            before[1:n] |= before[: n - 1] & SPACE[last] & (last != 0x20) & ((this > 0x20) & (this < 0x7F) | (this == 0xC3))
         if not _special(data):
-            before[1:n] |= _LETTER[last] & _MARK[this]
+            letter = _LETTER[last]
+            letter[1:] |= (data[:-2] == 0xC3) & _LATIN[last[1:]]
+            before[1:n] |= letter & _MARK[this]
     starts = np.flatnonzero(before[:n] & mask)
     if drops_space:
         before[1:n] |= ~mask[1:]
@@ -61,17 +79,19 @@ def _parts(data: np.ndarray, places: np.ndarray, drops_space: bool) -> tuple[pa.
 
 
 class Encoder:
-    """drops_space: the tokenizer removes white space and lower-cases."""
+    """drops_space: the tokenizer removes white space and lower-cases. cache: see CACHE."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores; threads here would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = drops_space
-        self.mark = next(((i, x.content) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and "<|" in x.content and not (x.lstrip or x.rstrip or x.single_word or x.normalized)), None)
+        self.drops_space, self.cache = drops_space, cache
         self.known: dict[str, int] = {}
         self._forget()
+        tried = ["a", " b", "word", " Word", "\u00c9t\u00e9", " stra\u00dfe\u00ff", "the", " internationalization", "\u00c0\u00d6\u00d8\u00de", " xq\u00fcz"]
+        tried = [x.strip() for x in tried] if drops_space else tried
+        self.direct = self._words(tried) == [x.ids for x in self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)]
 
     def _forget(self) -> None:
         """A new generation. The one before stays until the next, and what is met again moves on from it, so that
@@ -87,7 +107,7 @@ class Encoder:
 
     def _distinct(self, parts: list[str]) -> np.ndarray:
         """Each part's number: ids flat[first[number]:first[number + 1]]."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self._forget()
         new = [x for x in parts if x not in self.known]
         if new and self.old:
@@ -101,17 +121,29 @@ class Encoder:
             self._remember(new, *self._each(new))
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Each word's ids from the tokenizer's model, as normalizer and pre-tokenizer leave it whole."""
+        text = "\n".join(words)
+        text = _BYTES[np.frombuffer((text.lower() if self.drops_space else text).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        model = self.tokenizer.model
+        return [[x.id for x in model.tokenize(word)] for word in text.split("\n")]
+
     def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The parts' ids, and how many each has. A special token between two parts keeps them apart, so that many
-        can be encoded as one text."""
-        if self.mark is None or any("<|" in x for x in parts):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
-        number, name = self.mark
-        texts = ["".join(x + name for x in parts[at : at + 5000]) for at in range(0, len(parts), 5000)]
-        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        stops = np.flatnonzero(flat == number)
-        return flat[flat != number], np.diff(stops, prepend=-1) - 1
+        """The parts' ids, and how many each has: words by the model, the rest by the whole tokenizer."""
+        word = np.fromiter((self.direct and _WORD.fullmatch(x) is not None for x in parts), bool, len(parts))
+        flats, lengths = [], np.zeros(len(parts), np.int64)
+        for own, encode in ((np.flatnonzero(word), self._words), (np.flatnonzero(~word), self._others)):
+            if len(own):
+                ids = encode([parts[i] for i in own.tolist()])
+                lengths[own] = np.fromiter(map(len, ids), np.int64, len(ids))
+                flats.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        flat, starts = np.concatenate(flats), np.empty(len(parts), np.int64)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return flat[ragged(starts, lengths)], lengths
+
+    def _others(self, parts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and where each row's ids begin."""
@@ -134,10 +166,10 @@ class Encoder:
         return out, starts
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, cache: int = CACHE) -> Encoder:
     """One for each worker process, as long as it tokenises."""
-    return held(owner(path, drops_space), lambda: Encoder(path, drops_space))
+    return held(owner(path, drops_space, cache), lambda: Encoder(path, drops_space, cache))
 
 
-def owner(path: str, drops_space: bool) -> tuple:
-    return "tokens", path, drops_space
+def owner(path: str, drops_space: bool, cache: int = CACHE) -> tuple:
+    return "tokens", path, drops_space, cache

@@ -185,6 +185,53 @@ def test_token_output(spark):
     assert token_output(df.limit(0), path).count() == 0
 
 
+ODD = ["\nÉté", "a\n\nWord", "x\x0bword\tWord\r\nÖl", "é.É,", "ß's don't ÀÖ'S", "é<|endoftext|>É", "e\u0301 É\u0301 ñ<\u0338", "\n\u00a0x \n x", "ª º ×a ÷É µ", "a1 1a É1\n1", "\nİx K", "ÿ " * 3 + "Ñandú-Ñ", "\n" + "Wörter" * 300]
+LETTERS = st.sampled_from([*"abE19 \n\t.'<|-", "é", "É", "×", "ß", "\u0301", "\u00a0", "漢", "don't"])
+
+
+@pytest.mark.parametrize("name, drops_space", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+@settings(max_examples=60, deadline=None)
+@given(rows=st.lists(st.lists(LETTERS, max_size=25).map("".join), max_size=6))
+def test_ids_are_the_tokenizers(name, drops_space, rows):
+    import pyarrow as pa
+
+    from isochron.llm.tokens import encoder
+
+    own = encoder(public_tokenizers.path(name), drops_space)
+    rows = [*rows, *ODD]
+    ids, starts = own.encode(pa.array(rows, pa.string()), 7)
+    got = [ids[a : b - 1].tolist() for a, b in zip(starts.tolist(), starts[1:].tolist())]
+    assert got == [x.ids for x in own.tokenizer.encode_batch(rows, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name, drops_space", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_go_to_the_model_alone(name, drops_space, monkeypatch):
+    """The whole tokenizer, four times as dear, gets what isn't a word, and the break before a word apart from it."""
+    import pyarrow as pa
+
+    from isochron.llm.tokens import Encoder
+
+    own, seen = Encoder(public_tokenizers.path(name), drops_space), []
+    monkeypatch.setattr(own, "_others", lambda parts, f=own._others: seen.extend(parts) or f(parts))
+    own.encode(pa.array(["Plain words,\nÉté é.\nNew"]), 0)
+    assert {x.strip() for x in seen} <= {"", ",", "."}
+
+
+def test_packing_remembers_little():
+    """Beside a full JVM, 3,000 MB hold two workers of packing only if they keep few words and small slices."""
+    import pyarrow as pa
+
+    from isochron.llm import packing
+    from isochron.llm.tokens import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = encoder(path, True, packing.CACHE)
+    for i in range(0, 400_000, 20_000):
+        own.encode(pa.array([" ".join("".join(chr(97 + int(c)) for c in str(j)) for j in range(i, i + 20_000))]), 1)
+        assert len(own.known) + len(own.old[0] if own.old else ()) <= 2 * (100_000 + 20_000)
+    assert packing.SLICE <= 1 << 20
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_coding_round_trip(values):
