@@ -63,6 +63,14 @@ END = "\n"
 #: Blocks in which weights travel.
 BLOCKS = 16
 
+#: Each token's class (shapes are classes of their own), and its place in it.
+_CLASS = np.append(np.repeat(np.arange(CLASSES), MEMBERS), CLASSES + np.arange(SHAPES)).astype(np.uint8)
+_MEMBER = np.append(np.tile(np.arange(MEMBERS), CLASSES), np.zeros(SHAPES, int))
+
+#: Rows of the class layer at once, so that its logits stay in the processor's cache.
+ROWS = 2048
+_ROW = np.arange(ROWS)
+
 _ENDS = np.full(256, 2, np.int64)
 _ENDS[list(b".!?")] = 0
 _ENDS[list(b",;:")] = 1
@@ -262,47 +270,74 @@ class Network:
         np.exp(x, out=x)
         return x @ np.ones(x.shape[1], x.dtype)
 
-    def _members(self, y: np.ndarray):
-        """Rows of each class among tokens y: (class, rows)."""
-        own = np.flatnonzero(y < WORDS)
-        kind = y[own] // MEMBERS
-        order = own[np.argsort(kind, kind="stable")]
-        ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-        for c in range(CLASSES):
-            rows = order[ends[c - 1] if c else 0 : ends[c]]
-            if len(rows):
-                yield c, rows
+    @staticmethod
+    def _members(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The network's words among tokens y in order of their classes, their places in them, and where in that order
+        each class lies, at most ROWS at once: (class, from, to)."""
+        kind = _CLASS.take(y)
+        order = np.argsort(kind, kind="stable")  # by digits, as it's one byte
+        ends = np.cumsum(np.bincount(kind, minlength=CLASSES)[:CLASSES]).tolist()
+        order = order[: ends[-1]]
+        return order, _MEMBER.take(y.take(order)), [(c, at, min(at + ROWS, b)) for c, (a, b) in enumerate(zip([0, *ends], ends)) for at in range(a, b, ROWS)]
 
     def log10(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 of each token's class, and of the word within it for the network's words."""
-        p, out = self.weight, np.empty(len(y))
-
-        def logs(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-            own = np.minimum(x[np.arange(len(x)), target], x.dtype.type(MOST_LOGIT))
-            return own - np.log(self._exp(x))
-
-        out[:] = logs(h @ p["c"] + p["cb"], np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS))
-        for c, rows in self._members(y):
-            out[rows] += logs(h[rows] @ p["o"][c].T + p["ob"][c], y[rows] % MEMBERS)
+        p = self.weight
+
+        def logs(x: np.ndarray, target: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+            own[:] = x[_ROW[: len(x)], target]
+            total[:] = self._exp(x)
+
+        def done(own: np.ndarray, total: np.ndarray) -> np.ndarray:
+            return np.minimum(own, own.dtype.type(MOST_LOGIT)) - np.log(total)
+
+        kind, own, total = _CLASS.take(y), np.empty(len(y), h.dtype), np.empty(len(y), h.dtype)
+        for a in range(0, len(y), ROWS):
+            b = min(a + ROWS, len(y))
+            x = h[a:b] @ p["c"]
+            x += p["cb"]
+            logs(x, kind[a:b], own[a:b], total[a:b])
+        out = done(own, total).astype(np.float64)
+        order, target, parts = self._members(y)
+        sorted_h, own, total = h.take(order, axis=0), own[: len(order)], total[: len(order)]
+        for c, a, b in parts:
+            x = sorted_h[a:b] @ p["o"][c].T
+            x += p["ob"][c]
+            logs(x, target[a:b], own[a:b], total[a:b])
+        out[order] += done(own, total)
         return out / np.log(10)
 
     def _gradients(self, h: np.ndarray, y: np.ndarray):
         """Of the output's weights and of the states, for the tokens' mean loss."""
         p, scale = self.weight, h.dtype.type(1 / len(y))
+        ones = np.ones(ROWS, h.dtype)
 
         def slope(x: np.ndarray, target: np.ndarray) -> np.ndarray:
             x *= (scale / self._exp(x))[:, None]
-            x[np.arange(len(x)), target] -= scale
+            x[_ROW[: len(x)], target] -= scale
             return x
 
-        d = slope(h @ p["c"] + p["cb"], np.where(y < WORDS, y // MEMBERS, CLASSES + y - WORDS))
-        grads = {"c": h.T @ d, "cb": d.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        dh = d @ p["c"].T
-        for c, rows in self._members(y):
-            own = h[rows]
-            d = slope(own @ p["o"][c].T + p["ob"][c], y[rows] % MEMBERS)
-            grads["o"][c], grads["ob"][c] = d.T @ own, d.sum(0)
-            dh[rows] += d @ p["o"][c]
+        grads = {name: np.zeros_like(p[name]) for name in ("c", "cb", "o", "ob")}
+        kind, dh = _CLASS.take(y), np.empty_like(h)
+        for a in range(0, len(y), ROWS):
+            b = min(a + ROWS, len(y))
+            x = h[a:b] @ p["c"]
+            x += p["cb"]
+            d = slope(x, kind[a:b])
+            grads["c"] += h[a:b].T @ d
+            grads["cb"] += ones[: b - a] @ d
+            np.matmul(d, p["c"].T, out=dh[a:b])
+        order, target, parts = self._members(y)
+        sorted_h, sorted_dh = h.take(order, axis=0), np.empty((len(order), STATE), h.dtype)
+        for c, a, b in parts:
+            own = sorted_h[a:b]
+            x = own @ p["o"][c].T
+            x += p["ob"][c]
+            d = slope(x, target[a:b])
+            grads["o"][c] += d.T @ own
+            grads["ob"][c] += ones[: b - a] @ d
+            np.matmul(d, p["o"][c], out=sorted_dh[a:b])
+        dh[order] += sorted_dh
         return grads, dh
 
     def learn(self, x: np.ndarray, keep: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -329,8 +364,8 @@ class Network:
         grads["u"] = du
         for name, g in grads.items():
             self._step(name, slice(None), g)
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
+        flat = x.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")  # by digits, as it's two bytes
         inputs, begins = np.unique(flat[order], return_index=True)
         self._step("w", inputs, np.add.reduceat(dgates.reshape(-1, 3 * s)[order], begins, axis=0))
         return out[-1]

@@ -109,6 +109,16 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-5
 
 
+def test_classes_lie_together():
+    """Each class' tokens are gathered once and lie together, in parts that stay in the cache; none is lost."""
+    y = np.random.default_rng(4).integers(0, L.WORDS + L.SHAPES, 9000)
+    y[:5000] %= 70
+    order, place, parts = L.Network._members(y)
+    assert sorted(order.tolist()) == np.flatnonzero(y < L.WORDS).tolist()
+    covered = [(y[order[i]] // L.MEMBERS, y[order[i]] % L.MEMBERS) == (c, place[i]) for c, a, b in parts for i in range(a, b)]
+    assert all(covered) and len(covered) == len(order) and max(b - a for _, a, b in parts) <= L.ROWS
+
+
 def test_state_goes_through_the_whole_text():
     """Windows of any length give the same probability, and early words change later ones'."""
     own, rng = network(3)
