@@ -151,7 +151,9 @@ def d20_d21_usage_and_career(feed: Feed) -> DataFrame:
 
 @query("SELECT user_id, round(sum(w * value), 4) AS credit FROM (SELECT user_id, 1.0 AS w, value FROM events UNION ALL SELECT (user_id + 1) % 150, 0.3, value FROM events UNION ALL SELECT (user_id + 2) % 150, 0.1, value FROM events) GROUP BY 1")
 def d26_credit(feed: Feed) -> DataFrame:
-    roles = F.array(*[F.struct(((F.col("user_id") + i) % 150).alias("user_id"), F.lit(w).alias("w")) for i, w in enumerate((1.0, 0.3, 0.1))])
+    """An event's value counts whole for its own user, and in part for two partners, who are among the first 150."""
+    user = F.col("user_id")
+    roles = F.array(*[F.struct(who.alias("user_id"), F.lit(w).alias("w")) for who, w in ((user, 1.0), ((user + 1) % 150, 0.3), ((user + 2) % 150, 0.1))])
     return feed.table("events").select("value", F.explode(roles).alias("r")).groupBy("r.user_id").agg(F.round(F.sum(F.col("r.w") * F.col("value")), 4).alias("credit"))
 
 
