@@ -59,6 +59,11 @@ SEASON_SECONDS, WINDOW_SECONDS = {"5v5": 600, "pp": 60}, {"5v5": 200, "pp": 60}
 
 WINDOW_GAMES = 10
 
+ROLLING_ALPHA = 1000.0
+
+#: Places of games in blocks that are broadcast; more are joined by game.
+MOST_PLACES = 200_000
+
 
 def _variants(strength: str, metrics: dict[str, dict[str, str]]) -> Column:
     """The designs' rows of a stint, as an array: design, row_id, entries, targets (an hour)."""
@@ -285,6 +290,15 @@ def g12_residuals(feed: Feed) -> DataFrame:
     return out
 
 
+def window_fits(feed: Feed, games: int = WINDOW_GAMES, stride: int = 1) -> DataFrame:
+    """Fits of each window of games over the rows whose members all have played enough in it. Rows are dealt once to blocks
+    of neighbouring windows, a task takes a block's windows one by one, and only coefficients leave it."""
+    blocks = A.window_blocks(feed.games.select("season", "game_id"), ["season"], ["game_id"], games, stride).drop("season")
+    blocks = F.broadcast(blocks) if blocks.count() <= MOST_PLACES else blocks
+    rows = rated_rows(feed, ROLLING).withColumns({"members": F.concat("home_skaters", "away_skaters"), "kind": F.col("strength"), "least": _least(WINDOW_SECONDS)}).join(blocks, "game_id")
+    return G.fit_windows(rows.select("season", "block", "first", "last", "place", "kind", "members", "seconds", "least", "w", "variants"), ["season"], games, stride, ROLLING_ALPHA)
+
+
 def window_parts(feed: Feed, games: int = WINDOW_GAMES, stride: int = 1) -> tuple[DataFrame, DataFrame]:
     """Moments by season, window of games and design, and the rows they stand for. Each game's moments are made once and
     summed into its windows; rows with a member short of seconds in a window are few, and are subtracted there."""
@@ -312,9 +326,6 @@ def _only_kept(parts: DataFrame) -> DataFrame:
     return parts
 
 
-ROLLING_ALPHA = 1000.0
-
-
 @query()
 def h18_rolling_ratings(feed: Feed) -> DataFrame:
     """Ratings of each window of ten games; each window's systems are solved in tasks."""
@@ -341,7 +352,5 @@ names AS ({_name_sql("place", "even_kept", "uneven_kept", None)}), targets AS (S
 @query(_window_sql())
 def h18_normal_equations(feed: Feed) -> DataFrame:
     """Windows of five games, every second one: each coefficient's normal equation over the rows that its window keeps."""
-    keys = ["season", "window_id", "design"]
-    parts, rows = window_parts(feed, 5, 2)
-    gaps = G.normal_gaps(rows, stored(G.fit(_only_kept(parts), keys, ROLLING_ALPHA)), keys, "row_id")
-    return gaps.select("season", "window_id", "target", "name", F.abs(F.round(F.col("gap") / 1000, 6)).alias("gap"))
+    gap = F.abs(F.round(F.col("gap") / 1000, 6)).alias("gap")
+    return window_fits(feed, 5, 2).select("season", "window_id", "target", "name", gap)
