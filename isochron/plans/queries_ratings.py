@@ -300,7 +300,8 @@ def window_fits(feed: Feed, games: int = WINDOW_GAMES, stride: int = 1) -> DataF
 
 
 def window_parts(feed: Feed, games: int = WINDOW_GAMES, stride: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Moments by season, window of games and design, and the rows they stand for. Each game's moments are made once and
+    """Moments by season, window of games and design, and the rows they stand for: the systems of `window_fits` by joins, for
+    tests to hold against them, as these moments take many times the rows' disk. Each game's moments are made once and
     summed into its windows; rows with a member short of seconds in a window are few, and are subtracted there."""
     rows = rated_rows(feed, ROLLING)
     windows = A.count_windows(feed.games.select("season", "game_id"), ["season"], ["game_id"], games, stride).select("game_id", "window_id")
@@ -329,8 +330,7 @@ def _only_kept(parts: DataFrame) -> DataFrame:
 @query()
 def h18_rolling_ratings(feed: Feed) -> DataFrame:
     """Ratings of each window of ten games; each window's systems are solved in tasks."""
-    parts, _ = window_parts(feed)
-    fitted = _named(G.fit(_only_kept(parts), ["season", "window_id", "design"], ROLLING_ALPHA))
+    fitted = _named(window_fits(feed))
     return fitted.select("season", "window_id", "metric_name", "player_id", F.round("value", 6).alias("value"))
 
 
