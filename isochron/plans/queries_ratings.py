@@ -15,7 +15,7 @@ from isochron.operators import ridge as G
 from isochron.operators.gates import only_passed
 from isochron.plans import stints as P
 from isochron.plans.feed import Feed
-from isochron.plans.queries_gates import GATE, game_verdicts
+from isochron.plans.queries_gates import GATE, judged
 from isochron.plans.registry import query
 from isochron.plans.sql import EVEN, LINEUPS, UNEVEN, after, stints_sql
 from isochron.sources.shared import stored
@@ -92,8 +92,7 @@ def _variants(strength: str, metrics: dict[str, dict[str, str]]) -> Column:
 def rated_rows(feed: Feed, metrics: dict[str, dict[str, str]], gated: bool = False) -> DataFrame:
     """season, game_id, strength, id, both sides' skaters, seconds, w and the designs' rows of each stint; attempts too if
     asked for, without seconds. `gated`: only of games that have passed their checks."""
-    lineups, parts = P.lineups(feed), []
-    lineups = stored(only_passed(lineups, game_verdicts(feed), ["game_id"]) if gated else lineups)
+    lineups, parts = only_passed(*judged(feed), ["game_id"]) if gated else stored(P.lineups(feed)), []
     for strength in ("5v5", "pp"):
         s = P.stints(P.filter_strength(lineups, strength)).withColumn("row_id", F.concat_ws("-", F.lit(strength), "game_id", "stint_id"))
         parts.append(s.select("season", "game_id", F.lit(strength).alias("strength"), F.col("row_id").alias("id"), "home_skaters", "away_skaters", F.col("duration").alias("seconds"), F.col("duration").cast("double").alias("w"), _variants(strength, metrics).alias("variants")))
@@ -125,7 +124,8 @@ def season_rows(feed: Feed, metrics: dict[str, dict[str, str]] = METRICS) -> Dat
     exposure = _seconds(rows, "season", "strength")
     rows = R.min_exposure(rows, "id", ["home_skaters", "away_skaters"], exposure, "player_id", "toi", _least(SEASON_SECONDS), ["season", "strength"])
     games = R.time_split(feed.games.select("season", "game_id"), "game_id", 0.8, ["season"])
-    rows = rows.join(games.select("game_id", "is_train"), "game_id")
+    last = games.filter("is_train").groupBy("season").agg(F.max("game_id").alias("_last"))
+    rows = rows.join(F.broadcast(last), "season", "left").withColumn("is_train", F.coalesce(F.col("game_id") <= F.col("_last"), F.lit(False)))
     return stored(rows).select("season", "is_train", "w", F.explode("variants").alias("v")).select("season", "is_train", "w", "v.*")
 
 
@@ -220,7 +220,7 @@ def g6_alpha_path(feed: Feed) -> DataFrame:
     chosen = path.groupBy(*_SEASON, "target").agg(F.count("*").alias("alphas"), F.count_if("best").alias("chosen"), F.min("error").alias("_least"), F.max(F.when(F.col("best"), F.col("error"))).alias("_error"), F.max(F.when(F.col("best"), F.col("alpha"))).alias("_alpha"))
     chosen = stored(chosen)
     refit = _at_alphas(parts.filter("is_train"), chosen)
-    left = G.residuals(_padded(rows.filter("NOT is_train")), refit, _SEASON, "row_id").join(rows.select(*_SEASON, "row_id", "w"), [*_SEASON, "row_id"])
+    left = G.residuals(_padded(rows.filter("NOT is_train")), refit, _SEASON, "row_id", "w")
     direct = left.groupBy(*_SEASON, "target").agg((F.sum(F.col("w") * F.col("residual") ** 2) / F.sum("w")).alias("_direct"))
     out = chosen.join(direct, [*_SEASON, "target"])
     return out.select("season", "target", "alphas", "chosen", (F.col("_least") == F.col("_error")).alias("least"), F.abs(F.round(F.col("_direct") / F.col("_error") - 1, 6)).alias("gap"))
@@ -284,7 +284,7 @@ SELECT season, target, n, CAST(0 AS DOUBLE) AS mean, true AS spread FROM tallies
 def g12_residuals(feed: Feed) -> DataFrame:
     """Residuals of all ratings: their weighted mean is 0, as the intercept isn't penalised."""
     rows = season_rows(feed)
-    left = G.residuals(rows, season_fits(rows), _SEASON, "row_id").join(rows.select(*_SEASON, "row_id", "w"), [*_SEASON, "row_id"])
+    left = G.residuals(rows, stored(season_fits(rows)), _SEASON, "row_id", "w")
     mean = F.sum(F.col("w") * F.col("residual")) / F.sum("w")
     out = left.groupBy("season", "target").agg(F.count("*").alias("n"), F.abs(F.round(mean, 6)).alias("mean"), (F.stddev_samp("residual") >= 0).alias("spread"))
     return out

@@ -59,9 +59,48 @@ def written(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
-@pytest.mark.parametrize("name", ["h18_normal_equations"])
-def test_what_is_shuffled_is_little(spark, name):
+@pytest.mark.parametrize("name, most", [("h18_normal_equations", 500), ("h18_rolling_ratings", 250), ("g12_residuals", 600)])
+def test_what_is_shuffled_is_little(spark, name, most):
     """Bytes an event of the feed, of which this table has 10,000."""
     before = written(spark)
-    registry.queries()[name](spark, SF).agg(F.count("*")).collect()
-    assert written(spark) - before < 500 * 10_000
+    registry.queries()[name](spark, SF).collect()
+    assert written(spark) - before < most * 10_000
+
+
+ROWS = [
+    (1, "a", 2.0, [("p", 1.0), ("q", -1.0)], [("y", 1.0), ("z", 4.0)]),
+    (2, "a", 3.0, [("q", 0.5), ("new", 1.0)], [("y", 2.0), ("z", 0.5)]),
+    (3, "b", 1.0, [("p", 1.0)], [("y", 3.0)]),
+    (4, "b", 1.0, [("p", -1.0), ("r", 2.0)], [("y", 1.0), ("more", 9.0)]),
+    (5, "a", 1.0, [("new", 1.0)], [("y", 5.0)]),
+    (6, "c", 1.0, [("p", 1.0)], [("y", 5.0)]),
+    (7, "a", 4.0, [("p", 1.0)], [("y", None), ("z", 1.0)]),
+    (8, "b", 1.0, [], [("y", 1.0)]),
+]
+FITTED = [("a", "y", "p", 0.5, 1.0, 2.0), ("a", "y", "q", -2.0, 1.0, 2.0), ("a", "z", "p", 3.0, -1.0, 2.0), ("a", "z", "q", 1.5, -1.0, 2.0), ("b", "y", "p", 1.0, 0.25, 2.0), ("b", "y", "r", 0.0, 0.25, 2.0)]
+
+
+def test_residuals_by_broadcast_and_by_join(spark, monkeypatch):
+    """Names, targets and groups that weren't fitted, rows without entries, a null."""
+    rows = spark.createDataFrame(ROWS, "row_id long, k string, w double, entries array<struct<name:string,x:double>>, targets array<struct<name:string,y:double>>")
+    fitted = spark.createDataFrame(FITTED, "k string, target string, name string, coefficient double, intercept double, alpha double")
+    left = lambda: {tuple(r) for r in G.residuals(rows, fitted, ["k"], "row_id", "w").collect()}
+    gaps = lambda: {(r.k, r.target, r.name): r.gap for r in G.normal_gaps(rows, fitted, ["k"], "row_id").collect()}
+    one, two = left(), gaps()
+    assert (1, "y") in {(r[1], r[2]) for r in one} and {r[1] for r in one} == {1, 2, 3, 4, 7}
+    monkeypatch.setattr(G, "MOST_SHARED", 5)
+    assert left() == one
+    other = gaps()
+    assert other.keys() == two.keys() and all(abs(other[k] - two[k]) < 1e-9 for k in two)
+
+
+def test_least_seconds_by_lists_and_by_ids(spark, monkeypatch):
+    from isochron.operators import regression as R
+
+    rows = spark.createDataFrame([(1, "a", [1, 2], [3]), (2, "a", [2], [4]), (3, "b", [1], [5]), (4, "b", [], None), (5, "c", [1], [2])], "id long, k string, h array<long>, a array<long>")
+    exposure = spark.createDataFrame([("a", 1, 5), ("a", 2, 50), ("b", 1, 50), ("b", 5, 9), ("b", 2, 1)], "k string, player_id long, toi long")
+    ids = lambda: {r.id for r in R.min_exposure(rows, "id", ["h", "a"], exposure, "player_id", "toi", 10, ["k"]).collect()}
+    everywhere = lambda: {r.id for r in R.min_exposure(rows, "id", ["h", "a"], exposure.filter("k = 'a'"), "player_id", "toi", 10).collect()}
+    assert (ids(), everywhere()) == ({2, 4, 5}, {2, 4})
+    monkeypatch.setattr(R, "MOST_SHORT", 0)
+    assert ids() == {2, 4, 5}
